@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality_mil, quality_rules, sharding, simhash, toxicity
+from . import bpe, embedding_dedup, line_dedup, packing, quality_mil, quality_rules, sharding, simhash, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "held_out", "score", "predicted")
@@ -50,9 +54,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op4_quality_classifier, op5_quality_rules, op6_bpe, op7_packing, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op4_quality_classifier, op5_quality_rules, op6_bpe, op7_packing, op8_embedding_dedup, op9_toxicity, op10_simhash)}
 
 ORACLES = {
+    "op8_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), n AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach(id, node) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.id, pairs.b FROM reach JOIN pairs ON reach.node = pairs.a
+), comp AS (
+  SELECT id, min(node) AS component_id FROM reach GROUP BY id
+), links AS (
+  SELECT a, count(*) AS n FROM pairs GROUP BY a
+)
+SELECT vec_id, coalesce(links.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.id = vec_id LEFT JOIN links ON links.a = vec_id
+""",
     "op1_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
