@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, line_dedup, packing, quality_mil, quality_rules, sharding, simhash, toxicity
+from . import bpe, embedding_dedup, line_dedup, main_text, packing, quality_mil, quality_rules, sharding, simhash, toxicity
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("linked")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_mil.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "held_out", "score", "predicted")
@@ -54,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op4_quality_classifier, op5_quality_rules, op6_bpe, op7_packing, op8_embedding_dedup, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_html_extraction, op4_quality_classifier, op5_quality_rules, op6_bpe, op7_packing, op8_embedding_dedup, op9_toxicity, op10_simhash)}
 
 ORACLES = {
     "op8_embedding_dedup": r"""
