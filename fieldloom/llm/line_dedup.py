@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, text_of
+from .common import BLANKS, saved, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case and nothing else; texts of ASCII alone take the quick way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the key of a line, null for a key under min_chars code points."""
-    key = line_key(line)
-    return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """For each line 128 bits of its key (no white space at both ends, A-Z in lower case), null under min_chars code points."""
+    keys = F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), lower_ascii)
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(k, F.lit(1)).alias("b"))))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -35,7 +35,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs pass through untouched; one that is named `lines` is replaced.
     """
     lines = F.split(text_of(text_col), "\n", -1)
-    hashes = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(F.transform(lines, lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))).alias("h"))
+    hashes = saved(docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array_compact(line_hashes(lines, min_chars)))).alias("h")), "hashes")
     # a null id becomes a value of the struct, so that it counts as a document of its own
     common = hashes.groupBy("h").agg(F.countDistinct(F.struct("id")).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select(F.col("h").alias("common"), "keeper")
     drops = (
@@ -48,10 +48,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.drop("lines").select(F.struct("*").alias("row"))
     joined = rows.join(drops, F.col(f"row.`{id_col}`").eqNullSafe(drops.drop_id), "left")
     lines = F.split(text_of(f"row.`{text_col}`"), "\n", -1)
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), line_hash(x, min_chars)), F.lit(False))))
+    marked = F.arrays_zip(lines.alias("line"), line_hashes(lines, min_chars).alias("h"))
+    left = F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col("drops"), x["h"]), F.lit(False)))
+    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.transform(left, lambda x: x["line"]))
     result = F.struct(
         F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
-        F.array_join(kept, "\n").alias("kept_text"),
+        (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped"),
+        F.array_join("kept", "\n").alias("kept_text"),
     )
-    return joined.select("row", result.alias("lines")).select("row.*", "lines")
+    return joined.withColumn("kept", kept).select("row", result.alias("lines")).select("row.*", "lines")
