@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,9 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, text_of
+from .pretoken import splitter, through_words
 
 #: Distinct words whose ids a worker keeps; beyond it, it starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
+
+
+#: Ids are below 2 ** SHIFT.
+SHIFT = 20
 
 
 class MergeReplay:
@@ -29,16 +36,9 @@ class MergeReplay:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.merged: dict[tuple[int, int], int | None] = {}
-
-    def rank(self, a: int, b: int) -> int | None:
-        """The id of the merge of two tokens, which is its rank too; None if they do not merge."""
-        pair = (a, b)
-        if pair not in self.merged:
-            if len(self.merged) > 2_000_000:
-                self.merged.clear()
-            self.merged[pair] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-        return self.merged[pair]
+        self.of_bytes = {(a, b): ranks.get(bytes([a, b])) for a in range(256) for b in range(256)}
+        # every way to make a token of two: left id and right id in one integer -> the token's id, which is its rank
+        self.merges = {ranks[t[:i]] << SHIFT | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of every word. All words lie in one array, chained by next and previous."""
@@ -46,7 +46,8 @@ class MergeReplay:
         after: list[int] = []
         before: list[int] = []
         starts = []
-        single, rank = self.single, self.rank
+        single, rank = self.single, self.merges.get
+        pairs = self.of_bytes
         index: dict[int, list[int]] = {}  # rank of a pair -> places of its left token
         for w in words:
             at, n = len(token), len(w)
@@ -57,9 +58,14 @@ class MergeReplay:
             if n:
                 after[-1] = -1
                 before[at] = -1
-            for i in range(at, at + n - 1):
-                if (r := rank(token[i], token[i + 1])) is not None:
-                    index.setdefault(r, []).append(i)
+            i = at
+            for pair in zip(w, w[1:]):
+                if (r := pairs[pair]) is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                i += 1
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -67,18 +73,26 @@ class MergeReplay:
             places = index.pop(r)
             places.sort()  # left to right within a word, as overlapping pairs are merged
             for i in places:
-                if token[i] < 0 or (j := after[i]) < 0 or rank(token[i], token[j]) != r:
+                a, j = token[i], after[i]
+                if a < 0 or j < 0 or rank(a << SHIFT | token[j]) != r:
                     continue  # a merge has taken one of them
                 token[i], token[j] = r, -1
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                for left, right in ((before[i], i), (i, k)):
-                    if left >= 0 and right >= 0 and (s := rank(token[left], token[right])) is not None:
-                        if s not in index:
-                            index[s] = []
+                    if (s := rank(r << SHIFT | token[k])) is not None:
+                        if s in index:
+                            index[s].append(i)
+                        else:
+                            index[s] = [i]
                             heapq.heappush(heap, s)
-                        index[s].append(left)
+                h = before[i]
+                if h >= 0 and (s := rank(token[h] << SHIFT | r)) is not None:
+                    if s in index:
+                        index[s].append(h)
+                    else:
+                        index[s] = [h]
+                        heapq.heappush(heap, s)
         out = []
         for at, w in zip(starts, words):
             ids, i = [], at if w else -1
@@ -101,28 +115,30 @@ def replay(path: str) -> MergeReplay:
 
 
 @lru_cache(maxsize=2)
-def kept_words(path: str) -> dict[str, tuple[int, ...]]:
+def kept_words(path: str) -> dict[str, bytes]:
     return {}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> list[int]:
+    return memoryview(data).cast("I").tolist() if sys.byteorder == "little" else [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)]
+
+
+def encode_packed(texts: list[str], path: str, pattern: str) -> list[bytes]:
+    """The packed ids of whole texts, each match of the pattern encoded by itself."""
+    merges = replay(path)
+    return through_words(texts, splitter(pattern), kept_words(path), lambda new: map(packed, merges.encode([w.encode() for w in new])), KEPT_WORDS)
+
+
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[list[int]]:
-    """The ids of whole texts, each match of the pattern encoded by itself."""
-    import regex
-
-    known, split = kept_words(path), regex.compile(pattern).findall
-    words = [split(t) for t in texts]
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    new = list(set().union(*words).difference(known)) if words else []
-    for w, ids in zip(new, replay(path).encode([w.encode() for w in new])):
-        known[w] = tuple(ids)
-    out = []
-    for row in words:
-        ids: list[int] = []
-        for w in row:
-            ids += known[w]
-        out.append(ids)
-    return out
+    return list(map(unpacked, encode_packed(texts, path, pattern)))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,21 +158,9 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """What encode_documents gives, as digests made where the ids are, so that long lists need not travel."""
 
     def rows(batch: list[tuple]) -> Iterator[tuple]:
-        import array
         import hashlib
 
-        for (key, _), ids in zip(batch, encode_texts([t for _, t in batch], path, pattern)):
-            packed = array.array("I", ids)
-            yield key, len(ids), hashlib.sha256(little_endian(packed)).hexdigest(), hashlib.sha256(replay(path).decode(ids)).hexdigest()
+        for (key, _), data in zip(batch, encode_packed([t for _, t in batch], path, pattern)):
+            yield key, len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(replay(path).decode(unpacked(data))).hexdigest()
 
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
-
-
-def little_endian(ids) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    import sys
-
-    if sys.byteorder == "big":
-        ids = ids[:]
-        ids.byteswap()
-    return ids.tobytes()

@@ -96,6 +96,22 @@ def test_bpe(spark, sf):
     assert bpe.encode_documents(empty(spark), path, pattern).count() == 0
 
 
+def test_latin_split_is_the_full_split():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import random
+
+    import regex
+
+    from fieldloom.llm import pretoken
+
+    full, quick = regex.compile(public_tokenizers.PATTERN).findall, pretoken.splitter(public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab'st re \n\t\x1c\x85\xa0éßÀªµ²½019_-.#") if rng.random() < 0.8 else chr(rng.randrange(0x250)) for _ in range(rng.randrange(40)))
+        assert quick(text) == full(text)
+    assert quick("日本語 ２３ x") == full("日本語 ２３ x")
+
+
 def brute_simhash(text, k=3):
     import xxhash
 
