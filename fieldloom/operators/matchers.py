@@ -1,0 +1,282 @@
+"""Matchers: (source catalog, target catalog) -> scores(src_pos, tgt_pos, score), by name.
+
+Features are worked out once per record, or once per distinct value, before any pair exists.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as X
+from ..functions import vocabulary as V
+from . import lexical, ranking
+from .pairs import all_pairs, by_distinct
+
+Matcher = Callable[[DataFrame, DataFrame], DataFrame]
+MATCHERS: dict[str, Matcher] = {}
+
+
+class Embedder(Protocol):
+    """What a model must offer: catalog in, catalog with an `embedding` column of unit or raw vectors out."""
+
+    def __call__(self, catalog: DataFrame, role: str) -> DataFrame: ...
+
+
+def register_matcher(name: str, matcher: Matcher) -> None:
+    MATCHERS[name.lower()] = matcher
+
+
+def score(name: str, src: DataFrame, tgt: DataFrame) -> DataFrame:
+    if name.lower() not in MATCHERS:
+        raise ValueError(f"unknown matcher {name}; there are {sorted(MATCHERS)}")
+    return MATCHERS[name.lower()](src, tgt)
+
+
+def scored(pairs: DataFrame, value: Column) -> DataFrame:
+    return pairs.select("src_pos", "tgt_pos", value.cast("double").alias("score"))
+
+
+def filled(src: DataFrame, tgt: DataFrame, parts: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """All pairs of positions with a column for each part; a pair that a part (a, b, score) lacks has 0 there.
+
+    keys names the column of both catalogs that a and b of a part are values of. Values are few beside the pairs.
+    """
+    need = ["pos", *dict.fromkeys(keys.values())]
+    out = all_pairs(src.select(*dict.fromkeys(need)), tgt.select(*dict.fromkeys(need)))
+    for name, part in parts.items():
+        p = part.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("score").alias(name))
+        out = out.join(p, (out[f"src_{keys[name]}"] == p["_a"]) & (out[f"tgt_{keys[name]}"] == p["_b"]), "left").drop("_a", "_b").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+def rule_features(catalog: DataFrame) -> DataFrame:
+    """pos and what rules compare; a row per record."""
+    desc = F.btrim(F.concat_ws(" ", X.text("desc"), X.text("example")), F.lit(" "))
+    out = catalog.select(
+        "pos",
+        X.compact_norm("name").alias("name_norm"),
+        X.compact_norm("path").alias("path_norm"),
+        X.rule_tokens("name").alias("name_tokens"),
+        X.rule_tokens("path").alias("path_tokens"),
+        X.rule_tokens(desc).alias("desc_tokens"),
+        X.canonical_type("type").alias("ctype"),
+        F.concat_ws(" ", X.text("name"), X.text("path"), desc).alias("_all"),
+    )
+    out = out.withColumn("combined", F.array_union("name_tokens", "path_tokens")).withColumn("full", F.array_union("combined", "desc_tokens"))
+    return out.withColumn("slots", X.slots("_all", F.col("full"))).drop("_all").persist()
+
+
+def side(feature: str) -> tuple[Column, Column]:
+    return F.col(f"src_{feature}"), F.col(f"tgt_{feature}")
+
+
+def path_jaccard() -> Column:
+    return S.jaccard(*side("path_tokens"))
+
+
+def name_signals() -> tuple[Column, Column, Column]:
+    """(names equal, both have four characters and share the first four, one contains the other)."""
+    a, b = side("name_norm")
+    both = (a != "") & (b != "")
+    return both & (a == b), both & (F.length(a) >= 4) & (F.length(b) >= 4) & (F.left(a, F.lit(4)) == F.left(b, F.lit(4))), both & (a.contains(b) | b.contains(a))
+
+
+def type_equal() -> Column:
+    a, b = side("ctype")
+    return (a != "") & (a == b)
+
+
+def heuristic(j: Column) -> Column:
+    """The coarse rule: the first case that holds; equal names alone score 0."""
+    exact, prefix, _ = name_signals()
+    same = type_equal()
+    cases = [
+        (exact & same & (j >= 0.5), 0.28),
+        (exact & same & (j >= 0.2), 0.08),
+        (exact & (j >= 0.8), 0.01),
+        (exact, 0.0),
+        (prefix & same & (j >= 0.8), 0.006),
+        (same & (j >= 0.8), 0.001),
+        (prefix, 0.004),
+        (j >= 0.8, 0.002),
+    ]
+    out = F.lit(0.0)
+    for condition, value in reversed(cases):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def part(condition: Column, value: float) -> Column:
+    return F.when(condition, value).otherwise(0.0)
+
+
+def steps(x: Column, *levels: tuple[float, float]) -> Column:
+    """The value of the first level that x reaches, else 0."""
+    out = F.lit(0.0)
+    for level, value in reversed(levels):
+        out = F.when(x >= level, value).otherwise(out)
+    return out
+
+
+def heuristic_support(j: Column) -> Column:
+    a, b = side("name_norm")
+    first4 = (a != "") & (b != "") & (F.left(a, F.lit(4)) == F.left(b, F.lit(4)))
+    base = F.when((a != "") & (a == b), 0.060).when(first4, 0.008).otherwise(0.0) + part(type_equal(), 0.010)
+    return base + F.when(base > 0, steps(j, (0.8, 0.010), (0.5, 0.004))).otherwise(0.0)
+
+
+def strong(j: Column) -> Column:
+    exact, _, partial = name_signals()
+    nj, no, po = S.jaccard(*side("name_tokens")), S.overlap(*side("name_tokens")), S.overlap(*side("path_tokens"))
+    fit = S.type_compat_b(*side("ctype"))
+    signal = exact | (nj >= 0.8) | partial
+    total = part(exact, 0.095) + part(partial, 0.012) + steps(nj, (0.8, 0.035), (0.5, 0.015)) + steps(no, (0.8, 0.012), (0.5, 0.004))
+    total = total + F.when(signal, steps(j, (0.8, 0.008), (0.5, 0.003)) + part(po >= 0.8, 0.0015)).otherwise(0.0)
+    a, b = side("ctype")
+    total = total + F.when(fit >= 1.0, 0.006).when(fit >= 0.8, 0.002).when(fit >= 0.3, 0.0008).when((a != "") & (b != ""), -0.18).otherwise(0.0)
+    total = total - 1.15 * S.polarity_penalty(*side("combined"))
+    return F.when(signal | ((fit >= 1.0) & (j >= 0.8)), F.greatest(total, F.lit(0.0))).otherwise(0.0)
+
+
+def rule_pairs(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """All pairs of rule features with _j, the Jaccard similarity of their paths."""
+    return all_pairs(rule_features(src), rule_features(tgt)).withColumn("_j", path_jaccard())
+
+
+def rule_heuristic(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    return scored(rule_pairs(src, tgt), heuristic(F.col("_j")))
+
+
+def rule_enhanced(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    return scored(rule_pairs(src, tgt), 0.78 * strong(F.col("_j")) + 0.10 * heuristic_support(F.col("_j")))
+
+
+def rule_scores(src: DataFrame, tgt: DataFrame, mode: str = "enhanced") -> DataFrame:
+    return rule_heuristic(src, tgt) if mode.lower() in ("heur", "heuristic", "weak") else rule_enhanced(src, tgt)
+
+
+# --- sparse ensembles -----------------------------------------------------------------------------------------------
+def sparse_catalog(catalog: DataFrame, rich: bool = True) -> DataFrame:
+    """pos with the texts and tokens that sparse matchers compare, and the type."""
+    full = X.sparse_text() if rich else F.btrim(F.concat_ws(" ", X.normalize("name"), X.normalize("path"), X.normalize("type")), F.lit(" "))
+    # read by several parts of an ensemble
+    return catalog.select("pos", "name", F.replace(X.text("path"), F.lit("."), F.lit(" ")).alias("path"), X.text("path").alias("raw_path"), X.type_base("type").alias("tbase"), full.alias("full")).persist()
+
+
+def values(catalog: DataFrame, key: str, name: str, tokens: Callable[[str], Column]) -> DataFrame:
+    return catalog.select(F.col(key).alias(name)).distinct().withColumn("tokens", tokens(name)).persist()
+
+
+def token_overlap(s: DataFrame, t: DataFrame, key: str, rich: bool) -> DataFrame:
+    tokens = lambda c: X.tokens(c, rich)
+    return lexical.jaccard_by_index(values(s, key, "a", tokens), values(t, key, "b", tokens))
+
+
+def same_types(s: DataFrame, t: DataFrame) -> DataFrame:
+    both = s.select(F.col("tbase").alias("a")).distinct().join(t.select(F.col("tbase").alias("b")).distinct(), F.col("a") == F.col("b"))
+    return both.where("a <> ''").withColumn("score", F.lit(1.0))
+
+
+def tfidf_part(s: DataFrame, t: DataFrame, rich: bool) -> DataFrame:
+    """Cosine of distinct texts; statistics count every record."""
+    corpus = s.select(F.concat(F.lit("s"), F.col("pos").cast("string")).alias("doc"), F.col("full").alias("text"), F.lit(True).alias("is_source")).union(
+        t.select(F.concat(F.lit("t"), F.col("pos").cast("string")).alias("doc"), F.col("full").alias("text"), F.lit(False).alias("is_source"))
+    )
+    return lexical.tfidf_cosine(corpus, X.tokens("text", rich), F.col("text"))
+
+
+def tfidf_ensemble(src: DataFrame, tgt: DataFrame, rich: bool = True) -> DataFrame:
+    s, t = sparse_catalog(src, rich), sparse_catalog(tgt, rich)
+    named = lambda df, tag: df.withColumn("doc", F.concat(F.lit(tag), F.col("pos").cast("string")))
+    parts = {"sparse": tfidf_part(s, t, rich), "overlap": token_overlap(s, t, "full", rich), "path_overlap": token_overlap(s, t, "path", rich), "type_score": same_types(s, t)}
+    rows = filled(named(s, "s"), named(t, "t"), parts, {"sparse": "doc", "overlap": "full", "path_overlap": "path", "type_score": "tbase"})
+    return scored(rows, 0.55 * F.col("sparse") + 0.15 * F.col("overlap") + 0.15 * F.col("path_overlap") + 0.15 * F.col("type_score"))
+
+
+def bm25_of_values(s: DataFrame, t: DataFrame, key: str, rich: bool) -> DataFrame:
+    """BM25 of each distinct query text against every target; (a, b, score) with b a position."""
+    tokens = X.bm25_tokens if rich else X.plain_tokens
+    queries = s.select(F.col(key).alias("src_pos")).distinct().withColumn("tokens", tokens("src_pos"))
+    docs = t.select(F.col("pos").alias("tgt_pos"), tokens(key).alias("tokens"))
+    top = lexical.bm25(queries, docs)
+    return ranking.row_max_normalized(top).select(F.col("src_pos").alias("a"), F.col("tgt_pos").alias("b"), "score")
+
+
+def bm25_ensemble(src: DataFrame, tgt: DataFrame, rich: bool = True) -> DataFrame:
+    s, t = sparse_catalog(src, rich), sparse_catalog(tgt, rich)
+    out = filled(s, t, {"overlap": token_overlap(s, t, "full", rich), "path_overlap": token_overlap(s, t, "path", rich), "type_score": same_types(s, t)}, {"overlap": "full", "path_overlap": "path", "type_score": "tbase"})
+    out = out.join(s.select(F.col("pos").alias("src_pos"), F.col("name").alias("_name"), F.col("raw_path").alias("_path")), "src_pos")
+    for name, key, col in (("full_bm", "full", "src_full"), ("name_bm", "name", "_name"), ("path_bm", "raw_path", "_path")):
+        p = bm25_of_values(s, t, key, rich).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("score").alias(name))
+        out = out.join(p, (out[col] == p["_a"]) & (out["tgt_pos"] == p["_b"]), "left").drop("_a", "_b").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return scored(out, 0.40 * F.col("full_bm") + 0.20 * F.col("name_bm") + 0.10 * F.col("path_bm") + 0.15 * F.col("overlap") + 0.05 * F.col("path_overlap") + 0.10 * F.col("type_score"))
+
+
+# --- dense ----------------------------------------------------------------------------------------------------------
+def dense(embedder: Embedder) -> Matcher:
+    """A matcher by cosine of the embeddings that a model gives."""
+
+    def match(src: DataFrame, tgt: DataFrame) -> DataFrame:
+        s, t = embedder(src, "query").select("pos", "embedding"), embedder(tgt, "passage").select("pos", "embedding")
+        return scored(all_pairs(s, t), S.cosine(*side("embedding")))
+
+    return match
+
+
+def md5_embedding(text: Column) -> Column:
+    """A unit vector of 96 numbers from the first eight hex digits of the text's MD5, for tests without a model."""
+    byte = lambda i: F.conv(F.substring(F.md5(text), 2 * i + 1, 2), 16, 10).cast("double") / 255
+    raw = F.array(*[byte(3 - i) for i in range(4)], *[F.lit(0.0)] * 92)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+# --- combinations ---------------------------------------------------------------------------------------------------
+def combine(cos: Column, type_: Column, path: Column, lex: Column, alpha: float = 1.0, beta: float = 0.3, gamma: float = 0.2, delta: float = 0.1) -> Column:
+    """The weighted mean of cosine, type, path and lexical similarity."""
+    return (alpha * cos + beta * type_ + gamma * path + delta * lex) / max(alpha + beta + gamma + delta, 1e-9)
+
+
+def weighted(name: Column, type_: Column, path: Column, w_name: float = 0.4, w_type: float = 0.2, w_path: float = 0.4) -> Column:
+    """The weighted mean of the similarities of three components."""
+    return (w_name * name + w_type * type_ + w_path * path) / max(w_name + w_type + w_path, 1e-12)
+
+
+def integrated(name: Column, type_: Column, path: Column, lex: Column, alpha: float = 1.0, beta: float = 0.3, gamma: float = 1.0, delta: float = 0.1) -> Column:
+    """The weighted sum of three component similarities and a lexical one; not a mean."""
+    return alpha * name + beta * type_ + gamma * path + delta * lex
+
+
+def constrained(base: DataFrame, src: DataFrame, tgt: DataFrame, alpha: float = 1.0, beta: float = 0.3, gamma: float = 0.2, delta: float = 0.1) -> DataFrame:
+    """base(src_pos, tgt_pos, score) as the cosine, with the type, path and name constraints of its pairs."""
+    bare = lambda df: df.select("pos", X.type_base("type").alias("tbase"), X.path_tokens("path").alias("ptok"), S.bare_name("name").alias("bname"))
+    s, t = bare(src), bare(tgt)
+    out = all_pairs(s, t).join(base, ["src_pos", "tgt_pos"])
+    out = by_distinct(out, s, t, "bname", S.name_ratio, "_lex")
+    return out.select(
+        "src_pos",
+        "tgt_pos",
+        combine(F.col("score"), S.compatibility(V.TYPE_COMPAT_A, *side("tbase")), S.jaccard(*side("ptok")), F.col("_lex"), alpha, beta, gamma, delta).alias("score"),
+    )
+
+
+def component_scores(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """All pairs with name_score, path_score (Jaccard of plain and of path tokens) and type_score (equal types)."""
+    make = lambda df: df.select("pos", X.plain_tokens("name").alias("ntok"), X.path_tokens("path").alias("ptok"), X.type_base("type").alias("tbase"))
+    a, b = side("tbase")
+    return all_pairs(make(src), make(tgt)).select("src_pos", "tgt_pos", S.jaccard(*side("ntok")).alias("name_score"), ((a == b) & (a != "")).cast("double").alias("type_score"), S.jaccard(*side("ptok")).alias("path_score"))
+
+
+def overlap_matcher(src: DataFrame, tgt: DataFrame) -> DataFrame:
+    """The flagship's matcher: weighted component similarities by built-in expressions alone."""
+    return component_scores(src, tgt).select("src_pos", "tgt_pos", F.round(weighted(F.col("name_score"), F.col("type_score"), F.col("path_score"), 0.3, 0.5, 0.2), 6).alias("score"))
+
+
+for _name, _matcher in {"rule": rule_enhanced, "rule_enh": rule_enhanced, "rule_heur": rule_heuristic, "tfidf": tfidf_ensemble, "bm25": bm25_ensemble, "overlap": overlap_matcher}.items():
+    register_matcher(_name, _matcher)
