@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("src_pos")
-#: Ties go to the smaller target position.
-BEST_FIRST = ROW.orderBy(F.desc("score"), "tgt_pos")
+
+def row() -> WindowSpec:
+    """All targets of a source."""
+    return Window.partitionBy("src_pos")
+
+
+def best_first() -> WindowSpec:
+    """Ties go to the smaller target position."""
+    return row().orderBy(F.desc("score"), "tgt_pos")
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(BEST_FIRST))
+    return scores.withColumn("rank", F.row_number().over(best_first()))
 
 
 def top_k(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -72,8 +78,8 @@ def softmax(scores: DataFrame, tau: float = 1.0) -> DataFrame:
     """scores with `prob`: a stable softmax of score / tau over each source's targets."""
     if tau <= 0:
         raise ValueError("tau must be positive")
-    e = F.exp((F.col("score") - F.max("score").over(ROW)) / tau)
-    return scores.withColumn("_e", e).withColumn("prob", F.col("_e") / F.greatest(F.sum("_e").over(ROW), F.lit(1e-12))).drop("_e")
+    e = F.exp((F.col("score") - F.max("score").over(row())) / tau)
+    return scores.withColumn("_e", e).withColumn("prob", F.col("_e") / F.greatest(F.sum("_e").over(row()), F.lit(1e-12))).drop("_e")
 
 
 def looks_like_probabilities(scores: DataFrame, tolerance: float = 1e-3) -> DataFrame:
@@ -83,7 +89,7 @@ def looks_like_probabilities(scores: DataFrame, tolerance: float = 1e-3) -> Data
 
 
 def row_max_normalized(scores: DataFrame, name: str = "score") -> DataFrame:
-    return scores.withColumn(name, F.col(name) / F.greatest(F.max(name).over(ROW), F.lit(1e-9)))
+    return scores.withColumn(name, F.col(name) / F.greatest(F.max(name).over(row()), F.lit(1e-9)))
 
 
 def global_max_normalized(scores: DataFrame, name: str = "score") -> DataFrame:
