@@ -151,7 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     """A model from at most `sample` labelled documents, those first by a hash of the id, outside the held-out rest."""
     usable = labels.where(F.col(label).isin(0, 1) & (F.pmod(crc_of_id("doc_id"), F.lit(hold)) != rest)).groupBy(F.col("doc_id").alias("key")).agg(F.max(label).alias("label"))
     chosen = usable.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample)  # at most `sample` small rows: safe to broadcast
-    known = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key").select("key", "label", "text")
+    known = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    # an id that many rows share gives one text, put together on the map side
+    known = known.groupBy("key", "label").agg(F.max("text").alias("text"))
     got = map_rows(known, "key long, label int, x binary", passage_rows).toPandas().sort_values(["key", "label"], ignore_index=True)
     bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in got["x"]]
     x = np.concatenate(bags).astype(float) if bags else np.zeros((0, WIDTH))
