@@ -21,7 +21,7 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or a risk-controlled cutoff."""
-    return only(docs, quality_rules.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept"))
+    return quality_rules.keep_by_rules(docs, table(spark, sf_dir, "labels"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,3 +180,20 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     counts = saved(text_counts(docs, id_col, text_col), "counts")
     cutoffs = fit_cutoffs(counts, labels, risk, level)
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected_by_rules(cutoffs))
+
+
+def keep_by_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = 0.05, level: float = 0.05) -> DataFrame:
+    """The rows of docs that apply_rules() keeps, with all their columns.
+
+    The verdict needs the text and the cutoffs alone, so texts are counted again where they are read: twice the
+    counting, but no text is shuffled to meet its verdict.
+    """
+    cutoffs = fit_cutoffs(saved(text_counts(docs, id_col, text_col), "counts"), labels, risk, level)
+    schema = ", ".join(f"{c} long" for c in COUNTS)
+
+    @F.pandas_udf(schema)
+    def counts_of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([count_text(t) for t in texts], columns=COUNTS)
+
+    counted = docs.select(F.struct("*").alias("row"), counts_of(text_of(text_col)).alias("counts")).select("row", "counts.*")
+    return counted.where(~base_failed() & ~rejected_by_rules(cutoffs)).select("row.*")

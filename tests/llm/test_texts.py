@@ -60,6 +60,9 @@ def test_quality_rules(spark, sf):
         for r in got:
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
             assert not (r.kept and r.base_failed)
+        kept = quality_rules.keep_by_rules(docs, labels)
+        assert kept.columns == docs.columns
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
     assert quality_rules.apply_rules(empty(spark), labels).count() == 0
     assert quality_rules.apply_rules(odd(spark), labels.limit(0)).where("not kept and not base_failed").count() == 0
 
