@@ -23,6 +23,20 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
+def shared(a: Column, b: Column) -> Column:
+    """How many members two sets share."""
+    return F.size(F.array_intersect(a, b))
+
+
+def jaccard_of(both: Column, a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets that share `both` members; the sets hold each member once."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def overlap_of(both: Column, a: Column, b: Column) -> Column:
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.least(F.size(a), F.size(b)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; 0 if either vector is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

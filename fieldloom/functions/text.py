@@ -54,6 +54,11 @@ def lookup_word(table: dict[str, str], key: Column) -> Column:
     return F.element_at(constant(table, "map<string, string>"), key)
 
 
+def hashed(tokens: Column) -> Column:
+    """A token set as 64-bit hashes: sets of longs are compared in generated code, sets of strings are not."""
+    return F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
+
+
 def when_tokens(condition: Column, *tokens: Column | str) -> Column:
     """The tokens if the condition holds, else none."""
     return F.when(condition, F.array(*[F.lit(t) if isinstance(t, str) else t for t in tokens])).otherwise(no_tokens())

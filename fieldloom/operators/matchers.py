@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +71,22 @@ def rule_features(catalog: DataFrame) -> DataFrame:
         F.concat_ws(" ", X.text("name"), X.text("path"), desc).alias("_all"),
     )
     out = out.withColumn("combined", F.array_union("name_tokens", "path_tokens")).withColumn("full", F.array_union("combined", "desc_tokens"))
-    return out.withColumn("slots", X.slots("_all", F.col("full"))).drop("_all").persist()
+    out = out.withColumn("slots", X.slots("_all", F.col("full"))).drop("_all")
+    is_src, is_dst = S.polarity(F.col("combined"))
+    return out.withColumn("is_src", is_src).withColumn("is_dst", is_dst)
 
 
-def side(feature: str) -> tuple[Column, Column]:
-    return F.col(f"src_{feature}"), F.col(f"tgt_{feature}")
+#: What pairs of records need of the features.
+PAIRED = ("pos", "name_norm", "ctype", "is_src", "is_dst")
+
 
+def paired_features(catalog: DataFrame) -> DataFrame:
+    """rule_features() cut to what a pair compares, with token sets as hashes; both sides of a join read it once."""
+    return rule_features(catalog).select(*PAIRED, X.hashed(F.col("name_tokens")).alias("names"), X.hashed(F.col("path_tokens")).alias("paths")).persist()
 
-def path_jaccard() -> Column:
-    return S.jaccard(*side("path_tokens"))
+
+def side(feature: str) -> tuple[Column, Column]:
+    return F.col(f"src_{feature}"), F.col(f"tgt_{feature}")
 
 
 def name_signals() -> tuple[Column, Column, Column]:
@@ -133,20 +142,22 @@ def heuristic_support(j: Column) -> Column:
 
 def strong(j: Column) -> Column:
     exact, _, partial = name_signals()
-    nj, no, po = S.jaccard(*side("name_tokens")), S.overlap(*side("name_tokens")), S.overlap(*side("path_tokens"))
+    nj, no, po = S.jaccard_of(F.col("_n"), *side("names")), S.overlap_of(F.col("_n"), *side("names")), S.overlap_of(F.col("_p"), *side("paths"))
     fit = S.type_compat_b(*side("ctype"))
     signal = exact | (nj >= 0.8) | partial
     total = part(exact, 0.095) + part(partial, 0.012) + steps(nj, (0.8, 0.035), (0.5, 0.015)) + steps(no, (0.8, 0.012), (0.5, 0.004))
     total = total + F.when(signal, steps(j, (0.8, 0.008), (0.5, 0.003)) + part(po >= 0.8, 0.0015)).otherwise(0.0)
     a, b = side("ctype")
     total = total + F.when(fit >= 1.0, 0.006).when(fit >= 0.8, 0.002).when(fit >= 0.3, 0.0008).when((a != "") & (b != ""), -0.18).otherwise(0.0)
-    total = total - 1.15 * S.polarity_penalty(*side("combined"))
+    (a_src, b_src), (a_dst, b_dst) = side("is_src"), side("is_dst")
+    total = total - part((a_src & b_dst) | (a_dst & b_src), 1.15)
     return F.when(signal | ((fit >= 1.0) & (j >= 0.8)), F.greatest(total, F.lit(0.0))).otherwise(0.0)
 
 
 def rule_pairs(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """All pairs of rule features with _j, the Jaccard similarity of their paths."""
-    return all_pairs(rule_features(src), rule_features(tgt)).withColumn("_j", path_jaccard())
+    """All pairs of rule features with _p, the number of path tokens they share, and _j, their Jaccard similarity."""
+    out = all_pairs(paired_features(src), paired_features(tgt)).withColumn("_p", S.shared(*side("paths")))
+    return out.withColumn("_j", S.jaccard_of(F.col("_p"), *side("paths")))
 
 
 def rule_heuristic(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -154,7 +165,7 @@ def rule_heuristic(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 
 def rule_enhanced(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    return scored(rule_pairs(src, tgt), 0.78 * strong(F.col("_j")) + 0.10 * heuristic_support(F.col("_j")))
+    return scored(rule_pairs(src, tgt).withColumn("_n", S.shared(*side("names"))), 0.78 * strong(F.col("_j")) + 0.10 * heuristic_support(F.col("_j")))
 
 
 def rule_scores(src: DataFrame, tgt: DataFrame, mode: str = "enhanced") -> DataFrame:
@@ -229,6 +240,44 @@ def dense(embedder: Embedder) -> Matcher:
     return match
 
 
+def vectors(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
+
+
+def dense_top_k(src: DataFrame, tgt: DataFrame, k: int = 5, digits: int = 6, tile: int = 2000) -> DataFrame:
+    """(src_pos, tgt_pos, score) of the k targets with the largest rounded cosine, from (pos, embedding) catalogs.
+
+    Both sides are dealt into tiles; a pair of tiles is one product of two matrices, of which k rows for each source
+    leave. Memory is bounded by a tile, and what is shuffled after it by k. A source is not compared with itself if
+    both catalogs are the same table. Ties go to the smaller position; a zero vector has the cosine 0.
+    """
+    same = src is tgt
+    n_s, n_t = (max(1, -(-df.count() // tile)) for df in (src, tgt))
+    deal = lambda df, n, mine, other, m: df.select("pos", "embedding", F.pmod(F.xxhash64("pos"), F.lit(n)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"src_pos": pd.Series(dtype="int64"), "tgt_pos": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(a) or not len(b):
+            return none
+        b = b.sort_values("pos")
+        x, y = vectors(a["embedding"]), vectors(b["embedding"])
+        norm = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+        s = np.round(np.divide(x @ y.T, norm, out=np.zeros(norm.shape), where=norm > 0), digits)
+        s_pos, t_pos = a["pos"].to_numpy(), b["pos"].to_numpy()
+        if same:
+            s[s_pos[:, None] == t_pos[None, :]] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        got = np.take_along_axis(s, order, 1)
+        rows, fine = np.repeat(s_pos, order.shape[1]).reshape(order.shape), np.isfinite(got)
+        return pd.DataFrame({"src_pos": rows[fine], "tgt_pos": t_pos[order][fine], "score": got[fine]})
+
+    left = deal(src, n_s, "i", "j", n_t)
+    # aliases tell the sides apart where both are one table
+    right = deal(tgt, n_t, "j", "i", n_s).select(F.col("pos").alias("pos"), F.col("embedding").alias("embedding"), "i", "j")
+    tiles = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(product, "src_pos long, tgt_pos long, score double")
+    return ranking.top_k(tiles, k)
+
+
 def md5_embedding(text: Column) -> Column:
     """A unit vector of 96 numbers from the first eight hex digits of the text's MD5, for tests without a model."""
     byte = lambda i: F.conv(F.substring(F.md5(text), 2 * i + 1, 2), 16, 10).cast("double") / 255
@@ -268,9 +317,10 @@ def constrained(base: DataFrame, src: DataFrame, tgt: DataFrame, alpha: float =
 
 def component_scores(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """All pairs with name_score, path_score (Jaccard of plain and of path tokens) and type_score (equal types)."""
-    make = lambda df: df.select("pos", X.plain_tokens("name").alias("ntok"), X.path_tokens("path").alias("ptok"), X.type_base("type").alias("tbase"))
+    make = lambda df: df.select("pos", X.hashed(X.plain_tokens("name")).alias("names"), X.hashed(X.path_tokens("path")).alias("paths"), X.type_base("type").alias("tbase"))
     a, b = side("tbase")
-    return all_pairs(make(src), make(tgt)).select("src_pos", "tgt_pos", S.jaccard(*side("ntok")).alias("name_score"), ((a == b) & (a != "")).cast("double").alias("type_score"), S.jaccard(*side("ptok")).alias("path_score"))
+    jaccard = lambda f: S.jaccard_of(S.shared(*side(f)), *side(f))
+    return all_pairs(make(src), make(tgt)).select("src_pos", "tgt_pos", jaccard("names").alias("name_score"), ((a == b) & (a != "")).cast("double").alias("type_score"), jaccard("paths").alias("path_score"))
 
 
 def overlap_matcher(src: DataFrame, tgt: DataFrame) -> DataFrame:

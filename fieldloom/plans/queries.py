@@ -455,12 +455,9 @@ s AS (SELECT a.vec_id AS src_pos, b.vec_id AS tgt_pos, round(list_dot_product(a.
 SELECT src_pos, tgt_pos, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY src_pos ORDER BY score DESC, tgt_pos) AS rank FROM s) WHERE rank <= 3"""
 )
 def cosine_topk(spark, sf_dir):
-    """Each vector's nearest others; the vectors stand in for a model's."""
+    """Each vector's nearest others by blocked products; the vectors stand in for a model's."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
-    unit = e.withColumn("n", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))
-    p = pairs.all_pairs(unit, unit).where("src_pos <> tgt_pos")
-    dot = F.aggregate(F.zip_with("src_embedding", "tgt_embedding", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return top3(p.select("src_pos", "tgt_pos", (dot / (F.col("src_n") * F.col("tgt_n"))).alias("score")))
+    return matchers.dense_top_k(e, e, 3).select("src_pos", "tgt_pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 RULE_FEATURES = ", ".join(

@@ -304,6 +304,20 @@ def test_dense_and_constrained(spark, fields):
     assert both[1, 1] == pytest.approx((1 + 0.3 * 1 + 0.2 * (1 / 5) + 0.1 * 1) / 1.6)
 
 
+@pytest.mark.parametrize("tile", [2, 5, 100])
+def test_dense_top_k(spark, tile):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9, 5))
+    x[3] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, embedding array<double>")
+    norm = np.linalg.norm(x, axis=1)
+    cos = np.round(np.divide(x @ x.T, norm[:, None] * norm[None], out=np.zeros((9, 9)), where=norm[:, None] * norm[None] > 0), 6)
+    for other, skip in ((df, True), (df.select("*"), False)):
+        got = sorted((r.src_pos, r.rank, r.tgt_pos, round(r.score, 6)) for r in matchers.dense_top_k(df, other, 3, tile=tile).collect())
+        want = sorted((i, n + 1, j, round(cos[i, j], 6)) for i in range(9) for n, j in enumerate(sorted((j for j in range(9) if not skip or j != i), key=lambda j, i=i: (-cos[i, j], j))[:3]))
+        assert got == want
+
+
 def test_stress_and_modes(spark, fields, tmp_path):
     src, tgt, table = fields
     t = pairs.truth(table, src, tgt)
