@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Pairs of the largest problem that is taken; the algorithm needs the whole table in one task and cubic time.
 MOST_PAIRS = 25_000_000
 
@@ -55,6 +57,7 @@ def assign(scores: DataFrame, tau: float | None = None, most_pairs: int = MOST_P
     With tau every source may stay unmatched at that score, and a match below it is refused. The number of pairs is
     counted first; a table beyond most_pairs is an error, as the whole of it goes to one task.
     """
+    ship(scores.sparkSession)
     n = scores.count()
     if n > most_pairs:
         raise ValueError(f"{n} pairs are more than one task can assign ({most_pairs}); block the catalogs first")

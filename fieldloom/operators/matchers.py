@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..shipping import ship
 from . import lexical, ranking
 from .pairs import all_pairs, by_distinct
 
@@ -251,6 +252,7 @@ def dense_top_k(src: DataFrame, tgt: DataFrame, k: int = 5, digits: int = 6, til
     leave. Memory is bounded by a tile, and what is shuffled after it by k. A source is not compared with itself if
     both catalogs are the same table. Ties go to the smaller position; a zero vector has the cosine 0.
     """
+    ship(src.sparkSession)
     same = src is tgt
     n_s, n_t = (max(1, -(-df.count() // tile)) for df in (src, tgt))
     deal = lambda df, n, mine, other, m: df.select("pos", "embedding", F.pmod(F.xxhash64("pos"), F.lit(n)).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))

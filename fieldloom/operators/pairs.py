@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A target side of at most so many rows is broadcast; it is counted first. Beyond it both sides are joined in blocks.
 BROADCAST_ROWS = 20_000
 
@@ -34,6 +36,7 @@ def all_pairs(src: DataFrame, tgt: DataFrame, limit: int = BROADCAST_ROWS) -> Da
 
 def by_distinct(pairs: DataFrame, src: DataFrame, tgt: DataFrame, key: str, score: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """pairs with the column `name`: a score of src_key and tgt_key that is worked out once for each two distinct values."""
+    ship(pairs.sparkSession)
     a = src.select(F.col(key).alias("a")).distinct()
     b = tgt.select(F.col(key).alias("b")).distinct()
     table = a.crossJoin(b).withColumn(name, score(F.col("a"), F.col("b")))

@@ -12,6 +12,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import assignment, calibration, lexical, matchers, pairs, ranking, stress, training
+from ..shipping import ship
 from ..sources import catalog
 from . import evaluation
 from . import oracle as O
@@ -495,6 +496,7 @@ def rule_enhanced(spark, sf_dir):
 @query()
 def lexical_bonus(spark, sf_dir):
     """Character ratio of every two distinct names; no SQL has it."""
+    ship(spark)
     names = table(spark, sf_dir, "part").select(S.bare_name("p_name").alias("a")).distinct()
     return names.crossJoin(names.select(F.col("a").alias("b"))).select("a", "b", F.round(S.name_ratio("a", "b"), 6).alias("ratio"))
 
