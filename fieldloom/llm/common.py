@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -52,6 +54,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def map_rows(df: DataFrame, schema: str, rows: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
     """Run rows() over lists of at most ROWS_AT_ONCE input tuples; it yields output tuples of the schema."""
+    ship(df.sparkSession)
     fields = T._parse_datatype_string(schema)
     target = arrow_schema(fields)
 
