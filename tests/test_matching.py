@@ -225,14 +225,15 @@ def test_assignment_threshold(spark):
 
 def brute_bm25(queries, docs, k1=1.5, b=0.75):
     n, avg = len(docs), sum(map(len, docs)) / len(docs)
-    df = {w: sum(w in d for d in docs) for d in docs for w in d}
+    sets = list(map(set, docs))
+    df = {w: sum(w in s for s in sets) for w in set().union(*sets)}
     return [[sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * d.count(w) * (k1 + 1) / (d.count(w) + k1 * (1 - b + b * len(d) / (avg + 1e-9))) for w in q if w in d) for d in docs] for q in queries]
 
 
 def test_bm25_over_rich_tokens(spark, fields):
     src, tgt, _ = fields
-    q = src.select(F.col("pos").alias("src_pos"), X.bm25_tokens(X.sparse_text()).alias("tokens"))
-    d = tgt.select(F.col("pos").alias("tgt_pos"), X.bm25_tokens(X.sparse_text()).alias("tokens"))
+    q = matchers.sparse_catalog(src).select(F.col("pos").alias("src_pos"), X.bm25_tokens("full").alias("tokens")).persist()
+    d = matchers.sparse_catalog(tgt).select(F.col("pos").alias("tgt_pos"), X.bm25_tokens("full").alias("tokens")).persist()
     want = brute_bm25([r.tokens for r in q.orderBy("src_pos").collect()], [r.tokens for r in d.orderBy("tgt_pos").collect()])
     got = {(r.src_pos, r.tgt_pos): r.score for r in lexical.bm25(q, d).collect()}
     for i, j in itertools.product(range(3), range(3)):
