@@ -27,7 +27,10 @@ def all_pairs(src: DataFrame, tgt: DataFrame, limit: int = BROADCAST_ROWS) -> Da
     s, t = prefixed(src, "src_"), prefixed(tgt, "tgt_")
     n = tgt.count()
     if n <= limit:
-        return s.crossJoin(F.broadcast(t))
+        # dealt by source before the product: as many tasks as shuffles have, and what ranks or sums the targets of
+        # a source finds them together, so the pairs themselves are not shuffled
+        parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return s.repartition(parts, "src_pos").crossJoin(F.broadcast(t))
     blocks = -(-n // limit)
     s = s.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     t = t.withColumn("_block", F.pmod(F.xxhash64("tgt_pos"), F.lit(blocks)).cast("int"))
