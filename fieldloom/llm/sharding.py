@@ -2,7 +2,7 @@
 
 Documents of equal texts are neighbours. All start in a shard by the hash of their id. In each round every group
 that is still spread looks at where its members are and asks to move to the shard that holds most of them and has
-room; a shard whose demand exceeds its quota grants its share of the requests. Then exact balance: each shard's
+room, a group larger than that to as many such shards as it fills; a shard whose demand exceeds its quota grants its share of the requests. Then exact balance: each shard's
 surplus over its target leaves, unlinked documents first, and fills the deficits of others, so that the numbers of
 rows are at most one apart. What the driver sees are a few numbers for each shard.
 """
@@ -16,6 +16,8 @@ from .common import forget, saved
 
 #: A group moves in units of at most about so many documents, so none has to fit in one task.
 UNIT_ROWS = 50_000
+#: A group of more than a quarter of a shard moves in units so small that about so many fill a shard.
+UNITS_PER_SHARD = 16
 #: Rows that one window of the final numbering sorts, about.
 CELL_ROWS = 20_000
 
@@ -37,24 +39,31 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
     for turn in range(rounds):
         loose = state.where("shard is null").select("grp", "unit", "size")
         # where the members of each unit are now
-        there = votes.join(loose, ["grp", "unit"], "left_semi").select("grp", "unit", "shard", "n")
-        placed = there.union(state.where("shard is not null").select("grp", "unit", "shard", F.col("size").alias("n")))
+        there = votes.join(loose, ["grp", "unit"], "left_semi").select("grp", "shard", "n", F.col("n").alias("own"))
+        placed = there.union(state.where("shard is not null").select("grp", "shard", F.col("size").alias("n"), F.lit(0).cast("long")))
         free = [max(0, quota - x) for x in sums(placed, shards, F.col("n"))]
-        near = placed.groupBy("grp", "shard").agg(F.sum("n").alias("near"))
+        near = placed
         if turn >= rounds // 2:  # neighbours' shards are full: the emptiest may be asked too
             emptiest = free.index(max(free))
-            near = near.union(loose.select("grp").distinct().select("grp", F.lit(emptiest).alias("shard"), F.lit(0).cast("long").alias("near")))
-        asked = (
-            loose.join(near, "grp")
-            .join(there.withColumnRenamed("n", "own"), ["grp", "unit", "shard"], "left")
-            .withColumn("need", F.col("size") - F.coalesce("own", F.lit(0)))
-            .where(F.col("need") <= by_shard(free, F.col("shard")))
-            .groupBy("grp", "unit", "size")
-            .agg(F.max_by(F.struct("shard", "need"), F.struct("near", F.xxhash64("grp", "unit", "shard"))).alias("to"))
-            .select("grp", "unit", "size", "to.shard", "to.need")
+            near = near.union(loose.select("grp").distinct().select("grp", F.lit(emptiest).alias("shard"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+        # a group's own loose rows leave the room that they take to its units, which fill the nearest shards one after
+        # another: those that start within a room, less the largest unit, end within it
+        spread = loose.groupBy("grp").agg(F.max("size").alias("largest"))
+        order = Window.partitionBy("grp").orderBy(F.desc("near"), F.xxhash64("grp", "shard")).rowsBetween(Window.unboundedPreceding, 0)
+        rooms = (
+            near.groupBy("grp", "shard")
+            .agg(F.sum("n").alias("near"), F.sum("own").alias("own"))
+            .join(spread, "grp")
+            .withColumn("room", by_shard(free, F.col("shard")) + F.col("own") - F.col("largest") + 1)
+            .where("room > 0")
+            .withColumn("end", F.sum("room").over(order))
+            .select("grp", "shard", "own", "room", "end")
         )
-        asked = saved(asked, "asked")
-        demand = sums(asked, shards, F.col("need"))
+        earlier = Window.partitionBy("grp").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
+        queue = loose.withColumn("start", F.sum("size").over(earlier) - F.col("size"))
+        asked = saved(queue.join(rooms, "grp").where("start >= end - room and start < end").select("grp", "unit", "size", "shard", "own"), "asked")
+        needs = asked.groupBy("grp", "shard").agg(F.greatest(F.lit(0), F.sum("size") - F.first("own")).alias("need"))
+        demand = sums(needs, shards, F.col("need"))
         grant = [10**6 if d <= f else 10**6 * f // d for f, d in zip(free, demand)]
         granted = asked.where(F.pmod(F.xxhash64("grp", "unit", F.lit(turn)), F.lit(10**6)) < by_shard(grant, F.col("shard"))).select("grp", "unit", F.col("shard").alias("moved"))
         step = saved(state.join(granted, ["grp", "unit"], "left").select("grp", "unit", "size", F.coalesce("shard", "moved").alias("shard")), "state")
@@ -89,10 +98,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6, id_col:
     )
     n = base.count()
     quota = -(-n // shards)
-    unit_rows = max(1, min(UNIT_ROWS, quota))
+    unit_rows = max(1, min(UNIT_ROWS, quota // UNITS_PER_SHARD))
+    whole = max(1, min(UNIT_ROWS, quota // 4))
     groups = base.where("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
     marked = saved(
-        base.join(groups, "grp", "left").withColumn("unit", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / unit_rows)))).drop("n"),
+        base.join(groups, "grp", "left").withColumn("unit", F.when(F.col("n") <= whole, F.lit(0).cast("long")).when(F.col("n") > whole, F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / unit_rows)))).drop("n"),
         "linked",
     )
     moved = propagate(marked.where("unit is not null"), shards, quota, rounds)

@@ -58,6 +58,16 @@ def test_sharding_splits_a_hot_group(spark, monkeypatch):
     assert cut <= 0.15 * total
 
 
+def test_sharding_gathers_a_hot_group(spark):
+    """A third of all rows has one text, by the constants of production: 8 shards hold it, each unit less than full."""
+    texts = [(i, "hot" if i % 3 == 0 else f"triple {i // 90}" if i % 30 == 1 else f"text {i}") for i in range(30_000)]
+    rows = sharding.shard_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check_shards(rows, texts)
+    assert len({r.shard for r in rows if texts[r.doc_id][1] == "hot"}) <= 10
+    cut, total = cut_edges(rows, texts)
+    assert cut <= 0.01 * total
+
+
 def brute_first_fit(lengths, room):
     bins, out = [], {}
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
