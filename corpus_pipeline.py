@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import line_dedup, packing, quality_mil, quality_rules, simhash
+from fieldloom.llm import line_dedup, near_text, packing, quality_mil, quality_rules
 from fieldloom.llm.common import saved, table
 
 
@@ -37,8 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest id."""
-    return only(docs, simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps one document of each group, with the smallest id: fingerprints within two bits, or 0.8 of five-word shingles shared."""
+    return only(docs, near_text.kept_ids(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,39 @@ def test_odd_rows(spark, sf):
     assert left.where("doc_id is null").count() == 0 or left.where("doc_id is null").count() == 1
 
 
+def test_near_duplicates_share_five_word_shingles(spark, sf):
+    """The stage keeps one of each group that 2-bit fingerprints or a similarity of 0.8 connect, as brute force does."""
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(64 if k else 400)]
+        for changes in (0, 1, 2) if k else (0, *[1] * 40):
+            copy = list(base)
+            for at in rng.sample(range(5, len(base) - 5), changes):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [brute_simhash(t) for t in texts]
+    up = list(range(len(texts)))
+    wide = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            close = (prints[a] ^ prints[b]).bit_count() <= 2
+            wide += alike and not close
+            if (alike or close) and up[a] != up[b]:
+                x, y = sorted((up[a], up[b]))
+                up = [x if u == y else u for u in up]
+    assert wide >= 20
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], odd(spark).schema)
+    assert sorted(r.doc_id for r in p.near_duplicates(spark, docs, sf).collect()) == sorted(set(up))
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
