@@ -13,12 +13,6 @@ from fieldloom.llm import line_dedup, near_text, packing, quality_mil, quality_r
 from fieldloom.llm.common import saved, table
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among ids(doc_id); a null id is an id like others here."""
-    kept = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base or a risk-controlled cutoff."""
     return quality_rules.keep_by_rules(docs, table(spark, sf_dir, "labels"))
@@ -37,8 +31,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, with the smallest id: fingerprints within two bits, or 0.8 of five-word shingles shared."""
-    return only(docs, near_text.kept_ids(docs))
+    """Keeps one row of each group, with the smallest id: fingerprints within two bits, or 0.8 of five-word shingles shared.
+
+    Of rows that repeat an id only the chosen one stays; a null id stays only in a group without another id.
+    """
+    return near_text.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

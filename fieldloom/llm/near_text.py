@@ -118,9 +118,16 @@ def alike(docs: DataFrame, texts: DataFrame, similarity: float, words_per_shingl
     return both.where(common >= similarity * (nx + ny - common) - 1e-9).select(F.col("c_x").alias("a"), F.col("c_y").alias("b"))
 
 
-def kept_ids(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id): the smallest id of each group of linked texts, null where a group has no other. Texts are told by 64-bit hashes."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("t"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), text_of(text_col).alias("text"))
+def one_of_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of linked texts: a row with the smallest id, a null id only where no other is.
+
+    Rows are told by all their columns, so of rows that share an id only those stay that are chosen for their own
+    group; of equal rows one stays. Null and empty texts, and texts without words, are one group. Texts are told by
+    64-bit hashes, rows by two. An empty table gives an empty table.
+    """
+    row = [c for name in docs.columns for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    a, b = F.xxhash64(*row), F.xxhash64(F.lit("b"), *row)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("t"), a.alias("a"), b.alias("b"), text_of(text_col).alias("text"))
     sketch = saved(map_rows(source, "id long, t long, a long, b long, fp long, bands array<long>", sketch_rows(words_per_shingle)), "sketches")
     # a fingerprint is a node and names itself
     linked = components(simhash.links(sketch.select(F.col("fp").alias("node"), "fp").distinct()))
@@ -128,4 +135,7 @@ def kept_ids(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int =
     texts = saved(texts.join(linked, texts.fp == linked.node, "left").select("t", "bands", F.coalesce("component", "fp").alias("component")), "texts")
     merged = components(alike(docs, texts, similarity, words_per_shingle, text_col))
     groups = texts.join(merged, texts.component == merged.node, "left").select("t", F.coalesce(merged.component, texts.component).alias("grp"))
-    return sketch.join(groups, "t").groupBy("grp").agg(F.min("id").alias("doc_id")).select("doc_id")
+    chosen = sketch.join(groups, "t").groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "a", "b")).alias("k"))
+    chosen = saved(chosen.select(F.col("k.a").alias("kept_a"), F.col("k.b").alias("kept_b")), "chosen")
+    kept = docs.withColumns({"kept_a": a, "kept_b": b}).join(chosen, ["kept_a", "kept_b"], "left_semi")
+    return kept.dropDuplicates(["kept_a", "kept_b"]).select([F.col(f"`{c}`") for c in docs.columns])

@@ -87,6 +87,17 @@ def test_near_duplicates_share_five_word_shingles(spark, sf):
     assert sorted(r.doc_id for r in p.near_duplicates(spark, docs, sf).collect()) == sorted(set(up))
 
 
+def test_near_duplicates_repeated_and_null_ids(spark, sf):
+    """One row stays for each group, also where rows repeat an id or have none."""
+    import corpus_pipeline as p
+
+    rows = [(7, "alpha beta gamma", "en"), (7, "alpha beta gamma", "en"), (7, "alpha beta gamma", "de"), (3, "delta one two", "en"), (9, "delta one two", "en")]
+    rows += [(9, "other words here", "en"), (None, "alpha beta gamma", "en"), (None, "no id at all", "en"), (None, "no id at all", "en"), (None, "delta one two", "de")]
+    docs = spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t, lang in rows], odd(spark).schema)
+    left = p.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "no id at all"), (3, "delta one two"), (7, "alpha beta gamma"), (9, "other words here")]
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
