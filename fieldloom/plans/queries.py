@@ -678,13 +678,13 @@ SELECT CAST(src_pos AS VARCHAR) AS field_id, string_agg(field_id, '|' ORDER BY k
 )
 def stream_topk(spark, sf_dir):
     """The part table as a stream of arriving fields, each scored against the catalog; the result is its written output."""
-    import tempfile
     import uuid
 
+    from ..shared import shared_dir
     from ..streaming.scoring import stream_top_k
 
     schema = table(spark, sf_dir, "part").schema
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-")) + f"/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/part.parque[t]")
     fields = stream.select(F.col("p_partkey").cast("string").alias("field_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("type"), F.concat_ws(".", "p_brand", "p_type", "p_name").alias("path"))
     best = stream_top_k(fields, catalog.part_targets(spark, sf_dir), 3).select("field_id", F.array_join(F.transform("best", lambda b: b["field_id"]), "|").alias("best"))
