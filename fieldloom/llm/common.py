@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import shared_dir
 from ..shipping import ship
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -20,15 +20,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 ROWS_AT_ONCE = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is set (tests, one machine) an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -39,6 +30,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """Another read of a table made by saved(): the two sides of a cogroup need distinct ones."""
+    return df.sparkSession.read.schema(df.schema).parquet(df.saved_path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by saved() that no plan will read again."""
     spark = df.sparkSession
