@@ -67,9 +67,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -84,25 +82,31 @@ def encoder(path: str, pattern: str):
     """A function from a text to its ids as a uint32 array, equal to what tokenizer(path) gives.
 
     Where each merge makes a larger id than the one before, ids are ranks, and tiktoken encodes the same vocabulary
-    several times as fast. Any other vocabulary is left to the `tokenizers` library.
+    several times as fast. Any other vocabulary is left to the `tokenizers` library. The string of an added token in a
+    text is that token, as the library reads it; add_special_tokens=False only leaves out what a template adds.
     """
     import json
+    import re
 
     import numpy as np
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     vocab, letters = model["model"]["vocab"], byte_of_letter()
-    special = {t["content"] for t in model["added_tokens"]}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    plain = not any(t[flag] for t in model["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    plain = plain and not any(a != b and b.startswith(a) for a in special for b in special)
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
     made = [vocab["".join(m)] for m in merges]
     single = [t for t in vocab if len(t) == 1 and t in letters]
-    if all(a < b for a, b in zip(made, made[1:])) and len(single) == 256 and len(vocab) == 256 + len(made) + len(special & vocab.keys()):
+    if plain and all(a < b for a, b in zip(made, made[1:])) and len(single) == 256 and len(vocab) == 256 + len(made) + len(special.keys() & vocab.keys()):
         import tiktoken
 
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
-        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(library.encode_ordinary(text), dtype="<u4")
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        found = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        encode = lambda text: library.encode(text, allowed_special="all") if found(text) else library.encode_ordinary(text)
+        return lambda text: np.asarray(encode(text), dtype="<u4")
     library = tokenizer(path)
     return lambda text: np.asarray(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -91,7 +91,8 @@ def test_tournament_is_first_fit_decreasing(seed):
 
 
 def check_pieces(rows, texts, path, room=2048):
-    lib = packing.tokenizer(path)
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(path)  # as the library reads it, untouched
     want = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -123,3 +124,24 @@ def test_packing(spark, sf):
     check_pieces(rows, [r[:2] for r in ROWS], path)
     assert all(zlib.crc32(array.array("I", r.ids).tobytes()) == r.ids_crc32 for r in rows)
     assert packing.pack(empty(spark), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    """A text that holds the string of an added token gets its id, by either encoder."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "x<|endoftext|> y\n <|endoftext|>", " <|ENDOFTEXT|>", ""]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, pattern).collect()
+    check_pieces(rows, list(enumerate(texts)), path)
+    model = json.loads(open(path, encoding="utf-8").read())
+    model["added_tokens"][0]["lstrip"] = True  # beyond what the quick encoder does
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(model), encoding="utf-8")
+    for file in (path, str(other)):
+        lib, encode = tokenizers.Tokenizer.from_file(file), packing.encoder(file, pattern)
+        for t in texts:
+            assert encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert packing.encoder(path, pattern)(texts[0]).tolist() == [64, 220, 50256, 275]
