@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .blocks import smallest_labels
+from .common import again, map_rows, saved
 from .components import components
 
 #: Rows of one side of a block product.
@@ -28,11 +29,17 @@ MOST_CELLS = 128
 
 
 def usable(embedding: list | None) -> bool:
+    """Is it a finite vector with a component that is not zero? Only such a one links."""
     if not embedding or None in embedding:
         return False
     x = np.asarray(embedding, dtype=float)
-    with np.errstate(over="ignore"):
-        return bool(np.isfinite(x).all() and 0 < np.sqrt((x * x).sum()) < np.inf)
+    return bool(np.isfinite(x).all() and x.any())
+
+
+def unit_of(x: np.ndarray) -> np.ndarray:
+    """x at length one; scaled by its largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max()
+    return x / np.sqrt((x * x).sum())
 
 
 def vector_rows(batch: list[tuple]) -> Iterator[tuple]:
@@ -44,7 +51,7 @@ def vector_rows(batch: list[tuple]) -> Iterator[tuple]:
             yield key, None, None, None, None
             continue
         x = np.asarray(embedding, dtype="<f8")
-        yield key, label, len(x), hashlib.md5(x.tobytes()).hexdigest(), (x / np.sqrt((x * x).sum())).tobytes()
+        yield key, label, len(x), hashlib.md5(x.tobytes()).hexdigest(), unit_of(x).tobytes()
 
 
 def matrix(units) -> np.ndarray:
@@ -115,13 +122,7 @@ def tile_links(cosine: float):
             return none
         hit = hit[np.ix_(rows, cols)]
         links = hit @ right["n"].to_numpy()[cols]
-        top_a, top_b, far = a[rows].copy(), b[cols].copy(), np.iinfo(np.int64).max
-        while True:
-            new_b = np.minimum(top_b, np.where(hit, top_a[:, None], far).min(0))
-            new_a = np.minimum(top_a, np.where(hit, new_b[None, :], far).min(1))
-            if (new_a == top_a).all() and (new_b == top_b).all():
-                break
-            top_a, top_b = new_a, new_b
+        top_a, top_b = smallest_labels(hit, a[rows], b[cols])
         return pd.DataFrame({"rep": np.concatenate([a[rows], b[cols]]), "links": np.concatenate([links, np.zeros(len(cols), np.int64)]), "head": np.concatenate([top_a, top_b])})
 
     return links
@@ -147,9 +148,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, sample: int = 20_0
     tiled = saved(dealt.join(tiles, at), "tiled")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    again = tiled.sparkSession.read.schema(tiled.schema).parquet(tiled.saved_path)  # a cogroup needs two distinct reads
     left = tiled.where("home").select(*at, "rep", "unit", mine(F.col("home_tiles")).alias("i"), spread(F.col("all_tiles")).alias("j"))
-    right = again.select(*at, "rep", "unit", "n", mine(F.col("all_tiles")).alias("j"), spread(F.col("home_tiles")).alias("i"))
+    right = again(tiled).select(*at, "rep", "unit", "n", mine(F.col("all_tiles")).alias("j"), spread(F.col("home_tiles")).alias("i"))
     by = [*at, "i", "j"]
     found = saved(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(tile_links(cosine), "rep long, links long, head long"), "links")
     parts = components(found.select(F.col("head").alias("a"), F.col("rep").alias("b")))

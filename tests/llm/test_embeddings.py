@@ -56,3 +56,10 @@ def test_clusters_and_odd_rows(spark, monkeypatch):
     assert got.pop(None) == (0, None, False)
     assert got == brute(rows)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_extreme_components(spark):
+    """Finite vectors link by their directions, also where squares of components over- or underflow."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [1.7e308, 1.6e308]), (6, [5e-324, 5e-324]), (7, [1.0, -1.0]), (8, [1e300, 1e-300]), (9, [2.0, 0.0])]
+    got = as_dict(embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")))
+    assert got == {i: (5, 1, i == 1) for i in range(1, 7)} | {7: (0, 7, True), 8: (1, 8, True), 9: (1, 8, False)}
