@@ -86,9 +86,9 @@ def links(nodes: DataFrame) -> DataFrame:
     masks = F.element_at(F.array(*[F.lit(signed(m)) for _, m in keys]), F.col("which") + 1)
     bits = F.array(*[F.lit(signed(1 << i)) for i in range(64)])
     flips = F.concat(F.array(F.col("fp")), F.transform(F.filter(bits, lambda b: b.bitwiseAND(masks) == 0), lambda b: F.col("fp").bitwiseXOR(b)))
-    near = shared.where(F.col("n") > PAIRWISE).select("node", "which", F.explode(flips).alias("mid"))
-    heads = near.groupBy("which", "mid").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = near.join(heads, ["which", "mid"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = shared.where(F.col("n") > PAIRWISE).select("node", "fp", "which", F.explode(flips).alias("mid"))
+    heads = near.groupBy("which", "mid").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = near.join(heads, ["which", "mid"]).where(F.col("node") != F.col("head")).where(close(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -96,14 +96,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) for every row of docs.
 
     component_id is the smallest id reachable by links, itself included. Rows with equal fingerprints are linked
-    (repeated rows, empty and null texts too). A null id is reported as it is, with the component of its
-    fingerprint's class, null if that class has no other id. Ids are taken to name one document: classes with the
-    same smallest id are one node. Columns other than the two named are not read; an empty table gives an empty table.
+    (repeated rows, empty and null texts too). Classes of equal fingerprints are the nodes, named by the fingerprint,
+    so rows without an id link others as any row does; they are reported with a null id and their component, which is
+    null only where no row of the component has an id. Rows that share an id keep each the component of its own
+    fingerprint. Nothing depends on an order, so there are no ties. Columns other than the two named are not read; an
+    empty table gives an empty table.
     """
     prints = saved(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
-    # a class of equal fingerprints is one node, named by its smallest id; a class of null ids only links with nothing
-    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    real = nodes.where("node is not null")
-    found = components(links(real))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    # one row for each fingerprint, with its smallest id as a value: minima are made on the map side
+    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")).select(F.col("fp").alias("node"), "fp", "least"), "classes")
+    found = components(links(nodes.select("node", "fp")))
+    classes = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")

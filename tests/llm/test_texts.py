@@ -156,6 +156,19 @@ def test_simhash(spark, sf):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    """Fingerprints 0, 0b11 and 0b1111: the outer two are reachable through the middle one, whose rows have no id."""
+    prints = {"a": 0, "b": 0b11, "c": 0b1111, "d": 1 << 40 | 1 << 50 | 1 << 60}
+    rows = [(1, "a"), (None, "b"), (None, "b"), (2, "c"), (2, "c"), (None, "d"), (2, "d"), (9, "d")]
+    made = spark.createDataFrame([(i, prints[t]) for i, t in rows], "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {0: 1, 0b11: 1, 0b1111: 1, prints["d"]: 2}
+    assert sorted((r.doc_id or 0, r.fp, r.component_id) for r in got) == sorted((i or 0, prints[t], want[prints[t]]) for i, t in rows)
+    made = made.where("fp = 3")
+    assert {r.component_id for r in simhash.near_duplicates(made.selectExpr("id as doc_id", "'' as text")).collect()} == {None}
+
+
 @pytest.mark.parametrize("pairwise", [0, 3, 24])
 def test_simhash_links(spark, pairwise, monkeypatch):
     import random
