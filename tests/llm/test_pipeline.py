@@ -1,11 +1,15 @@
 """The pipeline's stages take effect and keep what they must."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.llm import near_text
+
 from .cases import empty, odd
 from .test_layout import check_pieces
-from .test_texts import brute_components, brute_counts, brute_lines, brute_simhash
+from .test_texts import brute_counts, brute_lines, brute_simhash
 
 BIG = "/root/testdata/sf0.01"
 
@@ -14,6 +18,32 @@ def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def brute_near(texts):
+    """The smallest id of each group that 2-bit fingerprints or 0.8 of five-word shingles connect; how many pairs only the second links."""
+    ids = sorted(texts)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (texts[i] or "").translate({c: c + 32 for c in range(65, 91)})) for i in ids}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    prints = {i: brute_simhash(texts[i]) for i in ids}
+    up = {i: i for i in ids}
+    wide = 0
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, b in enumerate(ids):
+        for a in ids[:n]:
+            close = (prints[a] ^ prints[b]).bit_count() <= 2
+            x, y = sorted((len(sets[a]), len(sets[b])))
+            alike = x > 0 and x >= 0.8 * y and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            wide += alike and not close
+            if alike or close:
+                low, high = sorted((find(a), find(b)))
+                up[high] = low
+    return {i for i in ids if find(i) == i}, wide
+
+
 def test_stages(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import corpus_pipeline as p
@@ -35,8 +65,8 @@ def test_stages(spark):
     assert sum((i in classed) == bool(labels[i]) for i in known) >= 0.95 * len(known)
     for i, n, dropped, text in brute_lines([(i, r.text) for i, r in classed.items()]):
         assert (lined[i].text, lined[i].n_chars) == (text, len(text))
-    parts = brute_components({i: brute_simhash(r.text) for i, r in lined.items()})
-    assert deduped.keys() == {i for i, c in parts.items() if i == c}
+    firsts, wide = brute_near({i: r.text for i, r in lined.items()})
+    assert deduped.keys() == firsts and wide >= 5
     out = p.STAGES[-1][1](spark, docs, BIG).collect()
     tokens, padded = check_pieces(out, [(i, r.text) for i, r in deduped.items()], public_tokenizers.path("byte_bpe_50k.json"))
     assert tokens >= 0.97 * padded
@@ -54,7 +84,7 @@ def test_odd_rows(spark, sf):
     assert left.where("doc_id is null").count() == 0 or left.where("doc_id is null").count() == 1
 
 
-def test_near_duplicates_share_five_word_shingles(spark, sf):
+def test_near_duplicates_share_five_word_shingles(spark, sf, monkeypatch):
     """The stage keeps one of each group that 2-bit fingerprints or a similarity of 0.8 connect, as brute force does."""
     import random
 
@@ -65,26 +95,18 @@ def test_near_duplicates_share_five_word_shingles(spark, sf):
     texts = []
     for k in range(40):
         base = [word() for _ in range(64 if k else 400)]
-        for changes in (0, 1, 2) if k else (0, *[1] * 40):
+        for changes in (0, 1, 2) if k else (0, *[8] * 60):
             copy = list(base)
             for at in rng.sample(range(5, len(base) - 5), changes):
                 copy[at] = word()
             texts.append(" ".join(copy))
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    prints = [brute_simhash(t) for t in texts]
-    up = list(range(len(texts)))
-    wide = 0
-    for b in range(len(texts)):
-        for a in range(b):
-            alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-            close = (prints[a] ^ prints[b]).bit_count() <= 2
-            wide += alike and not close
-            if (alike or close) and up[a] != up[b]:
-                x, y = sorted((up[a], up[b]))
-                up = [x if u == y else u for u in up]
+    firsts, wide = brute_near(dict(enumerate(texts)))
     assert wide >= 20
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], odd(spark).schema)
-    assert sorted(r.doc_id for r in p.near_duplicates(spark, docs, sf).collect()) == sorted(set(up))
+    for pairs, tile in ((near_text.PAIRS, near_text.TILE), (0, 7), (60, 1000)):  # in rows, in many blocks, in both
+        monkeypatch.setattr(near_text, "PAIRS", pairs)
+        monkeypatch.setattr(near_text, "TILE", tile)
+        assert {r.doc_id for r in p.near_duplicates(spark, docs, sf).collect()} == firsts
 
 
 def test_near_duplicates_repeated_and_null_ids(spark, sf):
