@@ -42,6 +42,23 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: At most so many keys are hot, whatever the table: those that hold more than one row in so many.
+MOST_HOT = 5000
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, rest: str = "inner") -> DataFrame:
+    """rows joined with counted(keys, n, ...) on keys, where n is at most the number of rows of a key and total of all.
+
+    Keys with n over total / MOST_HOT are fewer than MOST_HOT, so they are broadcast and their rows, which may be a
+    third of all, stay where they are; the others are shuffled, with so few rows each. rest says how these join:
+    `inner`, or `left` to keep rows without a key in counted. n is not in the result. Keys are not null.
+    """
+    hot = F.col("n") * MOST_HOT > total
+    first = rows.join(F.broadcast(counted.where(hot).drop("n")), keys)
+    others = rows.join(F.broadcast(counted.where(hot).select(*keys)), keys, "left_anti")
+    return first.unionByName(others.join(counted.where(~hot).drop("n"), keys, rest))
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -1,8 +1,9 @@
 """Line dedup: explode normalised lines, hash them, count distinct documents per hash, drop, reassemble by position.
 
 Only hashes are exploded and shuffled for the counts, after duplicates within a document are gone and with partial
-sums on the map side, so a line that a third of all documents hold costs one row per task. The text itself moves
-once, to meet the few hashes that its document has to drop.
+sums on the map side, so a line that a third of all documents hold costs one row per task; the commonest lines are
+broadcast, as no more than some thousands can be so common. The text itself moves once, to meet the few hashes that its
+document has to drop.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, saved, text_of
+from .common import BLANKS, join_hot, saved, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,9 +38,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(text_of(text_col), "\n", -1)
     hashes = saved(docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array_compact(line_hashes(lines, min_chars)))).alias("h")), "hashes")
     # a null id becomes a value of the struct, so that it counts as a document of its own
-    common = hashes.groupBy("h").agg(F.countDistinct(F.struct("id")).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select(F.col("h").alias("common"), "keeper")
+    common = hashes.groupBy("h").agg(F.countDistinct(F.struct("id")).alias("ids"), F.count("*").alias("n"), F.max("id").alias("keeper"))
+    common = saved(common.where(F.col("ids") >= min_docs).drop("ids"), "common")
     drops = (
-        hashes.join(common, hashes.h == common.common)
+        join_hot(hashes, common, ["h"], hashes.count())
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("id").alias("drop_id"))
         .agg(F.collect_set("h").alias("drops"))

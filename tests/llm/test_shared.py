@@ -10,3 +10,20 @@ def test_queries_without_a_folder(tmp_path, sf, spark):
     assert got.keys() == set(names)
     assert {got[n] for n in names if n[2] in "125" and n != "op10_simhash"} | {got["op10_simhash"]} == {count("documents")}
     assert got["op3_html_extraction"] == count("pages") and got["op8_embedding_dedup"] == count("embeddings")
+
+
+def test_join_hot_is_a_join(spark, monkeypatch):
+    """With keys of every size, some broadcast and some not, the result is that of a plain join."""
+    from pyspark.sql import functions as F
+
+    from fieldloom.llm import common
+
+    monkeypatch.setattr(common, "MOST_HOT", 10)
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 0, if(id % 2 = 0, 1 + id % 50, id)) as k")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1")
+    assert 0 < counted.where("n * 10 > 1000").count() < counted.count()
+    for how in ("inner", "left"):
+        want = rows.join(counted.drop("n"), "k", how).select("k", "id", "top")
+        got = common.join_hot(rows, counted, ["k"], 1000, how).select("k", "id", "top")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert common.join_hot(rows.limit(0), counted.limit(0), ["k"], 0).count() == 0
