@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, join_hot, saved
 
 #: A group moves in units of at most about so many documents, so none has to fit in one task.
 UNIT_ROWS = 50_000
@@ -100,15 +100,16 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6, id_col:
     quota = -(-n // shards)
     unit_rows = max(1, min(UNIT_ROWS, quota // UNITS_PER_SHARD))
     whole = max(1, min(UNIT_ROWS, quota // 4))
-    groups = base.where("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    marked = saved(
-        base.join(groups, "grp", "left").withColumn("unit", F.when(F.col("n") <= whole, F.lit(0).cast("long")).when(F.col("n") > whole, F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / unit_rows)))).drop("n"),
-        "linked",
-    )
+    groups = saved(base.where("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").withColumn("members", F.col("n")), "groups")
+    unit = F.when(F.col("members") <= whole, F.lit(0).cast("long")).when(F.col("members") > whole, F.pmod(F.xxhash64("uid"), F.ceil(F.col("members") / unit_rows)))
+    # null texts have no group and meet none
+    with_text = join_hot(base.where("grp is not null"), groups, ["grp"], n, "left")
+    without = base.where("grp is null").withColumn("members", F.lit(None).cast("long"))
+    marked = saved(with_text.unionByName(without).withColumn("unit", unit).drop("members"), "linked")
     moved = propagate(marked.where("unit is not null"), shards, quota, rounds)
     cells = max(1, -(-n // (shards * CELL_ROWS)))
     placed = saved(
-        marked.join(moved, ["grp", "unit"], "left").select(
+        marked.where("unit is not null").join(moved, ["grp", "unit"], "left").unionByName(marked.where("unit is null").withColumn("shard", F.lit(None).cast("int"))).select(
             "uid",
             "doc_id",
             "size",
