@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, text_of
+from .common import join_hot, map_rows, saved, text_of
 from .components import components
 
 SEED = 42
@@ -74,9 +74,10 @@ def links(nodes: DataFrame) -> DataFrame:
         "fp",
         F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("block")) for i, m in keys])).alias("k"),
     ).select("node", "fp", "k.which", "k.block")
-    counts = keyed.groupBy("which", "block").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(keyed.join(counts, ["which", "block"]), "blocks")
-    few = shared.where(F.col("n") <= PAIRWISE).groupBy("which", "block").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("all"))
+    keyed = saved(keyed, "keys")
+    counts = saved(keyed.groupBy("which", "block").agg(F.count("*").alias("n")).where("n > 1").withColumn("members", F.col("n")), "counts")
+    shared = saved(join_hot(keyed, counts, ["which", "block"], keyed.count()), "blocks")
+    few = shared.where(F.col("members") <= PAIRWISE).groupBy("which", "block").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("all"))
     # at most PAIRWISE members in each group; every pair is verified here
     pairs = (
         few.select(F.explode("all").alias("x"), "all")
@@ -86,7 +87,7 @@ def links(nodes: DataFrame) -> DataFrame:
     masks = F.element_at(F.array(*[F.lit(signed(m)) for _, m in keys]), F.col("which") + 1)
     bits = F.array(*[F.lit(signed(1 << i)) for i in range(64)])
     flips = F.concat(F.array(F.col("fp")), F.transform(F.filter(bits, lambda b: b.bitwiseAND(masks) == 0), lambda b: F.col("fp").bitwiseXOR(b)))
-    near = shared.where(F.col("n") > PAIRWISE).select("node", "fp", "which", F.explode(flips).alias("mid"))
+    near = shared.where(F.col("members") > PAIRWISE).select("node", "fp", "which", F.explode(flips).alias("mid"))
     heads = near.groupBy("which", "mid").agg(F.min("node").alias("head"), F.min_by("fp", "node").alias("head_fp"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = near.join(heads, ["which", "mid"]).where(F.col("node") != F.col("head")).where(close(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b"))
     return pairs.union(stars).distinct()
@@ -104,9 +105,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = saved(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     # one row for each fingerprint, with its smallest id as a value: minima are made on the map side
-    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")).select(F.col("fp").alias("node"), "fp", "least"), "classes")
+    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).select(F.col("fp").alias("node"), "fp", "least", "n"), "classes")
     found = components(links(nodes.select("node", "fp")))
-    classes = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    classes = nodes.join(found, "node", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    named = saved(classes.join(least, "component").select("fp", "n", "component_id"), "named")
+    return join_hot(prints, named, ["fp"], prints.count()).select(F.col("id").alias("doc_id"), "fp", "component_id")
