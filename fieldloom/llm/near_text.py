@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .blocks import components_of_hits, none_linked
-from .common import again, map_rows, saved, text_of
+from .common import again, join_hot, map_rows, saved, text_of
 from .components import components
 
 BANDS, MINIMA = 16, 4
@@ -155,9 +155,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def contested(keyed: DataFrame) -> DataFrame:
-    """Rows of keyed(band, t, c) whose band value several components share, with the number n of its texts."""
-    values = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    return keyed.join(values.where("low <> high").select("band", "n"), "band")
+    """Rows of keyed(band, t, c) whose band value several components share, with the number `members` of its texts."""
+    values = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    values = saved(values.select("band", "n", F.col("n").alias("members")), "values")
+    return join_hot(keyed, values, ["band"], keyed.count())
 
 
 def relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
@@ -195,9 +196,10 @@ def alike(rows: DataFrame, texts: DataFrame, similarity: float, words_per_shingl
     shared = saved(contested(texts.select("t", "c", F.explode("bands").alias("band"))), "shared")
     wanted = shared.select("t").distinct().join(texts.select("t", F.col("best.file").alias("file"), F.col("best.at").alias("at")), "t")
     sets = saved(map_rows(at_places(rows, saved(wanted, "wanted"), "inner").select("t", text.alias("text")), "t long, shingles array<long>", set_rows(words_per_shingle)), "sets")
-    central = shared.groupBy("t").agg(F.sum("n").alias("score"))
-    heads = shared.join(central, "t").groupBy("band").agg(F.max_by(F.struct("t", "c"), F.struct("score", -F.col("t"))).alias("h"))
-    led = saved(shared.join(heads.select("band", F.col("h.t").alias("head"), F.col("h.c").alias("ch")), "band"), "led")
+    central = shared.groupBy("t").agg(F.sum("members").alias("score"))
+    heads = shared.join(central, "t").groupBy("band").agg(F.max_by(F.struct("t", "c"), F.struct("score", -F.col("t"))).alias("h"), F.count("*").alias("n"))
+    heads = saved(heads.select("band", "n", F.col("h.t").alias("head"), F.col("h.c").alias("ch")), "heads")
+    led = saved(join_hot(shared, heads, ["band"], shared.count()), "led")
     star = led.where("c <> ch").select(F.col("head").alias("x"), F.col("ch").alias("cx"), F.col("t").alias("y"), F.col("c").alias("cy")).distinct()
     first = saved(verified(star, sets, similarity), "links")
     merged = saved(components(first), "merged")
@@ -223,12 +225,12 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int
     sketch = saved(map_rows(source, "id long, file long, at long, key string, fp long, bands array<long>", sketch_rows(words_per_shingle)), "sketches")
     # a fingerprint is a node and names itself
     linked = components(simhash.links(sketch.select(F.col("fp").alias("node"), "fp").distinct()))
-    texts = sketch.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "at")).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    texts = texts.join(linked, texts.fp == linked.node, "left").select(F.monotonically_increasing_id().alias("t"), "key", "best", "bands", F.coalesce("component", "fp").alias("c"))
+    texts = sketch.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "at")).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    texts = texts.join(linked, texts.fp == linked.node, "left").select(F.monotonically_increasing_id().alias("t"), "key", "n", "best", "bands", F.coalesce("component", "fp").alias("c"))
     texts = saved(texts, "texts")
-    groups = relabelled(texts.select("key", "best", "c"), alike(rows, texts, similarity, words_per_shingle, text))
+    groups = relabelled(texts.select("key", "n", "best", "c"), alike(rows, texts, similarity, words_per_shingle, text))
     chosen = groups.groupBy("c").agg(F.min("best").alias("chosen"))
-    stays = groups.join(chosen, "c").select("key", "chosen")
+    stays = saved(groups.join(chosen, "c").select("key", "n", "chosen"), "stays")
     # of a group the chosen place stays, all others go; these are the few
-    gone = sketch.join(stays, "key").where((F.col("file") != F.col("chosen.file")) | (F.col("at") != F.col("chosen.at"))).select("file", "at")
+    gone = join_hot(sketch.select("key", "file", "at"), stays, ["key"], sketch.count()).where((F.col("file") != F.col("chosen.file")) | (F.col("at") != F.col("chosen.at"))).select("file", "at")
     return at_places(rows, saved(gone, "gone"), "left_anti").select("row.*")
