@@ -2,8 +2,9 @@
 
 Every text gets counts (below). A rule is a ratio of counts with a cutoff; which cutoff is chosen from labelled
 documents so that, in every stratum of text length, the chance of rejecting a document labelled good is bounded: the
-exact (Clopper-Pearson) upper bound of each candidate's false-rejection rate, at a level that is divided by the
-number of all bounds computed (Bonferroni), must be at most the rule's share of the allowed risk.
+exact (Clopper-Pearson) upper bound of each candidate's false-rejection rate must be at most the rule's share of the
+allowed risk. Candidates of a stratum and rule are tested from the loosest on, a fixed order that needs no correction
+as it stops at the first that fails; over strata and rules the level is divided by their number (Bonferroni).
 """
 
 from __future__ import annotations
@@ -132,11 +133,11 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def choose_cutoffs(histogram: dict[tuple[int, str], dict[int, int]], risk: float, level: float) -> dict[tuple[int, str], float]:
-    """For each (stratum, rule) the lowest cutoff whose bounded false-rejection rate fits, or none.
+    """For each (stratum, rule) the last cutoff, from the loosest on, before the first whose bound does not fit, or none.
 
     histogram: good documents by grid cell of the rule's ratio; cell i holds ratios in (i-1, i] / GRID.
     """
-    tests = len(STRATA) * len(RULES) * GRID
+    tests = len(STRATA) * len(RULES)
     out = {}
     for (s, rule), cells in histogram.items():
         n, over = sum(cells.values()), 0

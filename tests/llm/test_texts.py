@@ -78,10 +78,71 @@ def test_cutoffs_keep_the_risk():
     cells = {0: 5000, 10: 40, 64: 10}
     cut = quality_rules.choose_cutoffs({(1, "symbols"): cells}, risk=0.05, level=0.05)[1, "symbols"]
     over = sum(n for c, n in cells.items() if c > cut * quality_rules.GRID)
-    assert quality_rules.upper_bound(over, 5050, 0.05 / (len(quality_rules.STRATA) * len(quality_rules.RULES) * quality_rules.GRID)) <= 0.01
+    assert quality_rules.upper_bound(over, 5050, 0.05 / (len(quality_rules.STRATA) * len(quality_rules.RULES))) <= 0.01
     assert quality_rules.choose_cutoffs({(1, "symbols"): {0: 20}}, 0.05, 0.05) == {}
 
 
+def brute_verdicts(rows, quality, risk, level):
+    """kept for each (id, text), by its own counts, cutoffs and binomial sums: no function of the operator is used."""
+    from fractions import Fraction
+
+    def ratios(text):
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        upper = sum("A" <= c <= "Z" for c in text or "")
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        part = lambda a, b: min(Fraction(a, b), Fraction(1)) if b else Fraction(0)
+        return {"symbols": part(symbols, chars), "capitals": part(upper, chars), "repeated_words": part(repeat, n), "repeated_lines": part(dup, lines), "symbols_per_word": part(symbols, n)}
+
+    def at_most(k, n, limit, chance):
+        """Is the rate bounded by limit: would k or fewer of n have at most that chance at the limit?"""
+        return sum(math.comb(n, i) * limit**i * (1 - limit) ** (n - i) for i in range(k + 1)) <= chance
+
+    stratum = lambda n: sum(n >= low for low in (50, 200, 800))
+    seen = {}
+    for i, t in rows:
+        n, _, _, _, repeat = brute_counts(t)
+        seen[i] = (stratum(n), n < 50 or 100 * repeat > 50 * n, ratios(t))
+    kept = {i: not failed for i, (_, failed, _) in seen.items()}
+    for s in range(4):
+        good = [r for i, (own, failed, r) in seen.items() if own == s and not failed and quality.get(i) == 1]
+        for rule in ("symbols", "capitals", "repeated_words", "repeated_lines", "symbols_per_word"):
+            best = None
+            for cut in range(63, -1, -1):
+                over = sum(r[rule] > Fraction(cut, 64) for r in good)
+                if not good or not at_most(over, len(good), risk / 5, level / (4 * 5)):
+                    break
+                best = Fraction(cut, 64)
+            for i, (own, _, r) in seen.items():
+                if best is not None and own == s and r[rule] > best:
+                    kept[i] = False
+    return kept
+
+
+@pytest.mark.parametrize("risk", [0.05, 0.6])
+def test_quality_verdicts_by_brute_force(spark, risk):
+    big = "/root/testdata/sf0.01"
+    rows, labels = texts(spark, big), spark.read.parquet(f"{big}/labels.parquet")
+    want = brute_verdicts(rows, {r.doc_id: r.quality for r in labels.collect()}, risk, 0.05)
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.read.parquet(f"{big}/documents.parquet"), labels, risk=risk).collect()}
+    assert got == want
+    base = sum(not (n < 50 or 100 * r > 50 * n) for n, _, _, _, r in (brute_counts(t) for _, t in rows))
+    assert (sum(want.values()) < base) == (risk > 0.05)  # few labels allow no cutoff at the small risk
+
+
+def test_quality_risk_on_labels_not_learned_from(spark):
+    """Cutoffs from half of the labels reject no more good documents of the other half than the risk, in any stratum."""
+    big = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    half = lambda k: labels.where(f"crc32(cast(doc_id as string)) % 2 = {k}")
+    out = quality_rules.apply_rules(spark.read.parquet(f"{big}/documents.parquet"), half(0)).where("not base_failed").join(half(1), "doc_id")
+    cells = Counter((sum(r.n_words >= low for low in (50, 200, 800)), r.quality, r.kept) for r in out.select("n_words", "quality", "kept").collect())
+    print("op5 other half:", sorted(cells.items()))
+    for s in range(4):
+        lost, n = cells[s, 1, False], cells[s, 1, False] + cells[s, 1, True]
+        assert lost <= 0.05 * n + 3 * math.sqrt(0.05 * n)
+    assert sum(cells[s, 0, False] for s in range(4)) > 0
+
+
 def test_bpe(spark, sf):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import tiktoken
