@@ -147,11 +147,12 @@ def passage_rows(batch: list[tuple]) -> Iterator[tuple]:
             yield key, label, x[end - n : end].astype("<f4").tobytes()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, hold: int, rest: int, sample: int, seed: int = 7) -> Model:
-    """A model from at most `sample` labelled documents, those first by a hash of the id, outside the held-out rest."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, hold: int, rest: int, sample: int, longest: int, seed: int = 7) -> Model:
+    """A model from at most `sample` labelled documents of at most `longest` characters, those first by a hash of the id, outside the held-out rest."""
     usable = labels.where(F.col(label).isin(0, 1) & (F.pmod(crc_of_id("doc_id"), F.lit(hold)) != rest)).groupBy(F.col("doc_id").alias("key")).agg(F.max(label).alias("label"))
     chosen = usable.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample)  # at most `sample` small rows: safe to broadcast
     known = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    known = known.where(F.char_length("text") <= longest)
     # an id that many rows share gives one text, put together on the map side
     known = known.groupBy("key", "label").agg(F.max("text").alias("text"))
     got = map_rows(known, "key long, label int, x binary", passage_rows).toPandas().sort_values(["key", "label"], ignore_index=True)
@@ -160,16 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     return train(x, np.array([len(b) for b in bags], dtype=int), got["label"].to_numpy(dtype=float), seed=seed)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", hold: int = 3, rest: int = 1, sample: int = 4000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", hold: int = 3, rest: int = 1, sample: int = 4000, longest: int = 100_000) -> DataFrame:
     """Every row of docs as a struct `row`, with held_out, score and predicted.
 
     Labels are learned only where crc32 of the id as text modulo `hold` is not `rest`, from at most `sample`
-    documents (the bound on what comes to the driver). A score depends on the text alone: null is the empty text, which
-    is one passage of zeros and is scored like others; repeated rows get equal scores; a null id is the empty text for
+    documents of at most `longest` characters (the bound on what comes to the driver); every passage of every whole
+    text is scored. A score depends on the text alone: null is the empty text, which is one passage of zeros and is scored like others; repeated rows get equal scores; a null id is the empty text for
     the remainder. Other columns are carried, not read. An empty table gives an empty table; without labels every
     score is 0.5.
     """
-    model = fit(docs, labels, id_col, text_col, label, hold, rest, sample)
+    model = fit(docs, labels, id_col, text_col, label, hold, rest, sample, longest)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

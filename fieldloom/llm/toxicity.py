@@ -82,17 +82,18 @@ class Model:
         self.bias, self.out, self.out_bias = np.zeros(total), rng.normal(0, 0.5, total), 0.0
         self.shift = np.zeros(len(LANGUAGES))  # the calibrated threshold of each language, as a logit
         self.product: np.ndarray | None = None
+        self.kind = np.float32  # of what filters give
 
     def settle(self) -> None:
         """Keep the product of table and kernels, which no longer changes."""
-        self.product = (self.table @ self.kernels).astype(np.float32)
+        self.product = (self.table @ self.kernels).astype(self.kind)
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         """What every filter gives at each place, before the bias."""
-        product = self.product if self.product is not None else (self.table @ self.kernels).astype(np.float32)
+        product = self.product if self.product is not None else (self.table @ self.kernels).astype(self.kind)
         parts = product[ids[:, 0]] + product[ids[:, 1]]
         f, n = self.filters, len(ids)
-        out = np.zeros((n, f * len(WIDTHS)), dtype=np.float32)
+        out = np.zeros((n, f * len(WIDTHS)), dtype=self.kind)
         for s, (w, j) in enumerate(self.slots):
             out[: n - j, (w - 1) * f : w * f] += parts[j:, s * f : (s + 1) * f]
         out[ids[:, 0] == 0] = 0  # what begins in the padding must not reach into the next text
@@ -124,6 +125,40 @@ def log_odds(bags: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(m: Model, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(rows of the table that have one, gradients by name) of the mean weighted logistic loss over the bags."""
+    ids, first = joined(bags)
+    total = m.filters * len(WIDTHS)
+    values = m.places(ids)
+    pooled = np.maximum.reduceat(values, first)
+    text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    act = np.maximum(pooled + m.bias, 0)
+    d = (sigmoid(act @ m.out + m.out_bias) - y) * weight / len(bags)
+    d_act = d[:, None] * m.out * (act > 0)
+    # the first place where each filter has its largest value in each text
+    at, col = np.nonzero(values == pooled[text])
+    _, one = np.unique(text[at] * total + col, return_index=True)
+    at, col = at[one], col[one]
+    da = d_act[text[at], col]
+    live = (da != 0) & (ids[at, 0] > 0)
+    at, col, da = at[live], col[live], da[live]
+    width, own = col // m.filters + 1, col % m.filters
+    g_kernels = np.zeros_like(m.kernels)
+    rows, grads = [], []
+    for s, (w, j) in enumerate(m.slots):
+        here = (width == w) & (at + j < len(ids))
+        words, c, g = ids[at[here] + j], s * m.filters + own[here], da[here]
+        np.add.at(g_kernels.T, c, g[:, None] * m.table[words].sum(1))
+        for side in range(2):
+            rows.append(words[:, side])
+            grads.append(g[:, None] * m.kernels.T[c])
+    rows, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    g_table = np.zeros((len(rows), m.table.shape[1]))
+    np.add.at(g_table, inverse, np.concatenate(grads))
+    g_table[rows == 0] = 0
+    return rows, {"table": g_table, "kernels": g_kernels, "bias": d_act.sum(0), "out": act.T @ d, "out_bias": d.sum()}
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, dim: int = 10, filters: int = 6, epochs: int = 4, batch: int = 48, rate: float = 0.15, seed: int = 11) -> Model:
     """Adagrad on the logistic loss, both kinds weighted alike. With labels of one kind, or none, all score 0.5.
 
@@ -143,51 +178,17 @@ def train(bags: list[np.ndarray], y: np.ndarray, dim: int = 10, filters: int = 6
     seen = {k: np.full(np.shape(getattr(m, k)), 1e-2) for k in ("kernels", "bias", "out", "out_bias")}
     seen_table = np.full(m.table.shape, 1e-3)
     lengths = np.array([len(b) for b in bags])
-    total = filters * len(WIDTHS)
-
-    def move(name: str, grad) -> None:
-        seen[name] += grad**2
-        setattr(m, name, getattr(m, name) - rate * grad / np.sqrt(seen[name]))
-
     for _ in range(epochs):
         # neighbours in length share a batch; batches come in a new order each time
         order = np.lexsort((rng.random(len(y)), lengths // 64))
         cuts = [order[i : i + batch] for i in range(0, len(order), batch)]
         for pick in (cuts[i] for i in rng.permutation(len(cuts))):
-            ids, first = joined([bags[i] for i in pick])
-            values = m.places(ids)
-            pooled = np.maximum.reduceat(values, first)
-            text = np.repeat(np.arange(len(pick)), lengths[pick])
-            act = np.maximum(pooled + m.bias, 0)
-            d = (sigmoid(act @ m.out + m.out_bias) - y[pick]) * weight[pick] / len(pick)
-            d_act = d[:, None] * m.out * (act > 0)
-            # the first place where each filter has its largest value in each text
-            at, col = np.nonzero(values == pooled[text])
-            _, one = np.unique(text[at] * total + col, return_index=True)
-            at, col = at[one], col[one]
-            da = d_act[text[at], col]
-            live = (da != 0) & (ids[at, 0] > 0)
-            at, col, da = at[live], col[live], da[live]
-            width, own = col // filters + 1, col % filters
-            g_kernels = np.zeros_like(m.kernels)
-            rows, grads = [], []
-            for s, (w, j) in enumerate(m.slots):
-                here = (width == w) & (at + j < len(ids))
-                words, c, g = ids[at[here] + j], s * filters + own[here], da[here]
-                np.add.at(g_kernels.T, c, g[:, None] * m.table[words].sum(1))
-                for side in range(2):
-                    rows.append(words[:, side])
-                    grads.append(g[:, None] * m.kernels.T[c])
-            rows, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            g_table = np.zeros((len(rows), dim))
-            np.add.at(g_table, inverse, np.concatenate(grads))
-            g_table[rows == 0] = 0
-            seen_table[rows] += g_table**2
-            m.table[rows] -= rate * g_table / np.sqrt(seen_table[rows])
-            move("kernels", g_kernels)
-            move("bias", d_act.sum(0))
-            move("out", act.T @ d)
-            move("out_bias", d.sum())
+            rows, g = gradients(m, [bags[i] for i in pick], y[pick], weight[pick])
+            seen_table[rows] += g["table"] ** 2
+            m.table[rows] -= rate * g["table"] / np.sqrt(seen_table[rows])
+            for name in seen:
+                seen[name] += g[name] ** 2
+                setattr(m, name, getattr(m, name) - rate * g[name] / np.sqrt(seen[name]))
     m.settle()
     return m
 
@@ -226,12 +227,13 @@ def id_rows(batch: list[tuple]) -> Iterator[tuple]:
             yield key, label, int(code), ids[a:b].astype("<i4").tobytes()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, hold: int, rest: int, sample: int, seed: int = 11) -> Model:
-    """A model from at most `sample` labelled documents outside the held-out rest, half of each kind where there are enough."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, hold: int, rest: int, sample: int, longest: int, seed: int = 11) -> Model:
+    """A model from at most `sample` labelled documents of at most `longest` characters outside the held-out rest, half of each kind where there are enough."""
     usable = labels.where(F.col(label).isin(0, 1) & (F.pmod(crc_of_id("doc_id"), F.lit(hold)) != rest)).groupBy(F.col("doc_id").alias("key")).agg(F.max(label).alias("label"))
     pick = lambda kind: usable.where(F.col("label") == kind).orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample // 2)
     chosen = pick(1).union(pick(0))  # at most `sample` small rows: safe to broadcast
     known = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    known = known.where(F.char_length("text") <= longest)
     # an id that many rows share gives one text, put together on the map side
     known = known.groupBy("key", "label").agg(F.max("text").alias("text"))
     got = map_rows(known, "key long, label int, lang int, ids binary", id_rows).toPandas().sort_values(["key", "label"], ignore_index=True)
@@ -244,15 +246,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", hold: int = 5, rest: int = 0, sample: int = 5000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", hold: int = 5, rest: int = 0, sample: int = 5000, longest: int = 100_000) -> DataFrame:
     """Every row of docs as a struct `row`, with held_out, score and predicted.
 
     Labels are learned only where crc32 of the id as text modulo `hold` is not `rest`, from at most `sample`
-    documents (the bound on what comes to the driver). A score depends on the text alone, language included; null is
+    documents of at most `longest` characters (the bound on what comes to the driver); every whole text is scored. A
+    score depends on the text alone, language included; null is
     the empty text, which is padding and is scored like others; repeated rows get equal scores; a null id is the empty
     text for the remainder. An empty table gives an empty table; without labels of both kinds every score is 0.5.
     """
-    model = fit(docs, labels, id_col, text_col, label, hold, rest, sample)
+    model = fit(docs, labels, id_col, text_col, label, hold, rest, sample, longest)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -85,3 +85,83 @@ def test_pooling_takes_the_whole_text():
     m = toxicity.train(bags, y, epochs=10, batch=12)
     toxicity.calibrate(m, bags, np.zeros(60, int), y)
     assert ((m.score(texts) >= 0.5) == (y == 1)).mean() >= 0.95
+
+
+def test_attention_forward_is_the_formula():
+    """The score by loops over passages and units: gated attention, weighted mean, logistic layer."""
+    import math
+
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 3, 5])
+    x = rng.normal(size=(9, quality_mil.WIDTH))
+    m = quality_mil.train(x, counts, np.array([0.0, 1.0, 0.0]), hidden=5, gates=3, epochs=2)
+    w, at = m.weights, 0
+    for bag, n in enumerate(counts):
+        hidden, attention = [], []
+        for row in x[at : at + n]:
+            row = [(v - a) * s for v, a, s in zip(row, m.mean, m.scale)]
+            h = [math.tanh(sum(v * w["e"][i][j] for i, v in enumerate(row)) + w["eb"][j]) for j in range(5)]
+            gate = [math.tanh(sum(h[i] * w["v"][i][k] for i in range(5))) / (1 + math.exp(-sum(h[i] * w["u"][i][k] for i in range(5)))) for k in range(3)]
+            hidden.append(h)
+            attention.append(math.exp(sum(g * a for g, a in zip(gate, w["a"]))))
+        z = [sum(a * h[j] for a, h in zip(attention, hidden)) / sum(attention) for j in range(5)]
+        p = 1 / (1 + math.exp(-sum(v * c for v, c in zip(z, w["c"])) - w["cb"][0]))
+        assert m.score(x, counts)[bag] == pytest.approx(p, abs=1e-9)
+        at += n
+
+
+def small_cnn(kind=np.float64):
+    rng = np.random.default_rng(8)
+    m = toxicity.Model(4, 2, 3)
+    m.kind = kind
+    m.bias, m.out_bias = rng.normal(0, 0.3, m.bias.shape), 0.2
+    bags = [np.concatenate([rng.integers(1, 40, (n, 2)), np.zeros((3, 2), int)]).astype(np.int32) for n in (1, 2, 6, 0, 9)]
+    return m, bags, np.array([1.0, 0.0, 1.0, 0.0, 0.0])
+
+
+def test_convolution_forward_is_the_formula():
+    """Every filter at every place of every text by loops, the largest value, then the logistic layer."""
+    m, bags, _ = small_cnn()
+    got = m.logits(*toxicity.joined(bags))
+    for bag, logit in zip(bags, got):
+        words = [m.table[a] + m.table[b] for a, b in bag]
+        total = m.out_bias
+        for w in toxicity.WIDTHS:
+            for f in range(m.filters):
+                best = 0.0  # what the padding gives
+                for at in range(len(bag)):
+                    if bag[at][0]:
+                        slots = [(m.slots.index((w, j)), j) for j in range(w)]
+                        best_here = sum(float(words[at + j] @ m.kernels[:, s * m.filters + f]) for s, j in slots if at + j < len(bag))
+                        best = max(best, best_here)
+                k = (w - 1) * m.filters + f
+                total += max(best + m.bias[k], 0) * m.out[k]
+        assert logit == pytest.approx(total, abs=1e-9)
+
+
+def test_convolution_gradients():
+    m, bags, y = small_cnn()
+    weight = np.array([0.5, 1.0, 2.0, 1.0, 0.7])
+
+    def loss():
+        p = toxicity.sigmoid(m.logits(*toxicity.joined(bags)))
+        return -np.mean(weight * (y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    rows, g = toxicity.gradients(m, bags, y, weight)
+    assert len(rows) and 0 < np.abs(g["table"]).sum()
+    places = [("out_bias", None)] + [(k, i) for k in ("kernels", "bias", "out") for i in np.ndindex(getattr(m, k).shape)] + [("table", (r, c)) for r in rows if r for c in range(4)]
+    for name, i in places:
+        own = g[name] if i is None else g["table"][np.flatnonzero(rows == i[0])[0], i[1]] if name == "table" else g[name][i]
+        values = []
+        for eps in (1e-6, -1e-6):
+            old = m.out_bias if i is None else getattr(m, name)[i]
+            if i is None:
+                m.out_bias = old + eps
+            else:
+                getattr(m, name)[i] = old + eps
+            values.append(loss())
+            if i is None:
+                m.out_bias = old
+            else:
+                getattr(m, name)[i] = old
+        assert own == pytest.approx((values[0] - values[1]) / 2e-6, abs=1e-6), (name, i)
