@@ -26,14 +26,18 @@ def top_k(scores: DataFrame, k: int = 5) -> DataFrame:
 
 
 def with_truth(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """Scores of the sources that have a truth, with `relevant`. Targets are never left out."""
-    have = scores.join(truth.select("src_pos").distinct(), "src_pos", "left_semi")
-    return have.join(truth.withColumn("_hit", F.lit(True)), ["src_pos", "tgt_pos"], "left").withColumn("relevant", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Scores of the sources that have a truth, with `relevant`. Targets are never left out.
+
+    A source's true targets are one array, which meets its scores by the source: where scores lie together by source,
+    as the product of all_pairs() does, they are not shuffled.
+    """
+    sets = truth.groupBy("src_pos").agg(F.collect_set("tgt_pos").alias("_targets"))
+    return scores.join(sets.hint("shuffle_hash"), "src_pos").withColumn("relevant", F.array_contains("_targets", F.col("tgt_pos"))).drop("_targets")
 
 
 def best_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """(src_pos, rank): the best rank of a true target."""
-    return ranked(with_truth(scores, truth)).where("relevant").groupBy("src_pos").agg(F.min("rank").alias("rank"))
+    return per_source(scores, truth, ()).select("src_pos", "rank")
 
 
 def gain_at(k: int, n: Column) -> Column:
@@ -43,11 +47,33 @@ def gain_at(k: int, n: Column) -> Column:
 
 def per_source(scores: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
     """For every source with a truth: its best rank and its NDCG at each k."""
-    r = ranked(with_truth(scores, truth))
-    aggs = [F.min(F.when(F.col("relevant"), F.col("rank"))).alias("rank"), F.count_if("relevant").alias("n")]
-    aggs += [F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"dcg{k}") for k in ks]
-    out = r.groupBy("src_pos").agg(*aggs)
-    return out.where("rank is not null").select("src_pos", "rank", *[(F.col(f"dcg{k}") / gain_at(k, F.col("n"))).alias(f"ndcg{k}") for k in ks])
+    return per_source_of(scores, truth, ["score"], ks).drop("setting")
+
+
+def per_source_of(scores: DataFrame, truth: DataFrame, columns: list[str], ks: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """per_source() of several score columns at once: a row for each source and column, named in `setting`.
+
+    Nothing is sorted: the best true targets of each source are gathered, and one pass counts the targets that beat
+    each of them, which is its rank. Ties go to the smaller position.
+    """
+    most = max((1, *ks))
+    relevant = with_truth(scores, truth).where("relevant")
+    gathered = relevant.groupBy("src_pos").agg(F.count("*").alias("n"), *[F.slice(F.sort_array(F.collect_list(F.struct(F.col(c).alias("s"), (-F.col("tgt_pos")).alias("t"))), False), 1, most).alias(f"_best{i}") for i, c in enumerate(columns)])
+    best = gathered.select("src_pos", "n", *[F.get(f"_best{i}", F.lit(k))[part].alias(f"_{part}{i}_{k}") for i in range(len(columns)) for k in range(most) for part in ("s", "t")])
+
+    def beats(i: int, k: int) -> Column:
+        s, t = F.col(f"_s{i}_{k}"), F.col(f"_t{i}_{k}")
+        return (F.col(columns[i]) > s) | (F.col(columns[i]) == s) & (-F.col("tgt_pos") > t)
+
+    # a rank is null where there are fewer true targets
+    counts = [F.sum(F.when(beats(i, k), 1).when(F.col(f"_t{i}_{k}").isNotNull(), 0)).alias(f"_r{i}_{k}") for i in range(len(columns)) for k in range(most)]
+    ranks = scores.join(best.hint("shuffle_hash"), "src_pos").groupBy("src_pos").agg(F.first("n").alias("n"), *counts)
+
+    def row_of(i: int) -> Column:
+        gains = [sum((F.when(F.col(f"_r{i}_{j}") < k, 1 / F.log2(F.col(f"_r{i}_{j}") + 2.0)).otherwise(0.0) for j in range(k)), F.lit(0.0)) / gain_at(k, F.col("n")) for k in ks]
+        return F.struct(F.lit(columns[i]).alias("setting"), (F.col(f"_r{i}_0") + 1).alias("rank"), *[g.alias(f"ndcg{k}") for k, g in zip(ks, gains)])
+
+    return ranks.select("src_pos", F.explode(F.array(*map(row_of, range(len(columns))))).alias("x")).select("src_pos", "x.*")
 
 
 def hit(k: int) -> Column:
