@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.text import grams, no_tokens
 
 
+#: Postings of a term that one task takes of either side, about.
+POSTINGS = 4000
+
+
+def join_terms(a: DataFrame, b: DataFrame, term: list[str], a_id: str, b_id: str, rows: int) -> DataFrame:
+    """a and b joined on a term, where no term stands in more than `rows` texts of a side. A term that many rows of a
+    side hold is cut into parts of about POSTINGS rows, by which the other side is repeated, so that the products of a
+    common word are made by many tasks."""
+    if rows <= POSTINGS:
+        return a.join(b, term)
+    parts = lambda df, name: df.groupBy(*term).agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias(name))
+    sizes = parts(a, "_pa").join(parts(b, "_pb"), term)
+
+    def side(df: DataFrame, key: str, mine: str, its: str, all_: str, other: str) -> DataFrame:
+        own = df.join(sizes, term).withColumn(mine, F.pmod(F.xxhash64(key), F.col(its)).cast("int"))
+        return own.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(all_) - 1))).drop("_pa", "_pb")
+
+    return side(a, a_id, "_i", "_pa", "_pb", "_j").join(side(b, b_id, "_j", "_pb", "_pa", "_i"), [*term, "_i", "_j"]).drop("_i", "_j")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(src_pos, tgt_pos, score) of the pairs that share a term, from queries(src_pos, tokens), docs(tgt_pos, tokens).
 
@@ -19,7 +39,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     idf = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked = queries.select("src_pos", F.explode("tokens").alias("term")).groupBy("src_pos", "term").agg(F.count("*").alias("qf")).join(idf, "term")
     norm = lengths.crossJoin(F.broadcast(size)).select("tgt_pos", (k1 * (1 - b + b * F.col("dl") / (F.col("avgdl") + 1e-9))).alias("norm"))
-    hits = asked.join(terms, "term").join(norm, "tgt_pos")
+    hits = join_terms(asked, terms.join(norm, "tgt_pos"), ["term"], "src_pos", "tgt_pos", max(queries.count(), docs.count()))
     part = F.col("qf") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + F.col("norm"))
     return hits.groupBy("src_pos", "tgt_pos").agg(F.sum(part).alias("score"))
 
@@ -69,11 +89,11 @@ def tfidf_cosine(corpus: DataFrame, tokens: Column, text: Column) -> DataFrame:
     unit = weights.select("doc", "block", "term", (F.col("w") / length).alias("w")).join(side, "doc").persist()
     a = unit.where("is_source").select(F.col("doc").alias("a"), "block", "term", F.col("w").alias("wa"))
     b = unit.where("not is_source").select(F.col("doc").alias("b"), "block", "term", F.col("w").alias("wb"))
-    return a.join(b, ["block", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+    return join_terms(a, b, ["block", "term"], "a", "b", corpus.count()).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
 def jaccard_by_index(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """(a, b, score) of token sets from src(a, tokens), tgt(b, tokens), for the pairs that share a token."""
     one = lambda df, key: df.select(key, F.size(F.array_distinct("tokens")).alias(f"n_{key}"), F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = one(src, "a").join(one(tgt, "b"), "token").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    hits = join_terms(one(src, "a"), one(tgt, "b"), ["token"], "a", "b", max(src.count(), tgt.count())).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     return hits.select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("score"))

@@ -6,6 +6,7 @@ Features are worked out once per record, or once per distinct value, before any
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -44,17 +45,22 @@ def scored(pairs: DataFrame, value: Column) -> DataFrame:
     return pairs.select("src_pos", "tgt_pos", value.cast("double").alias("score"))
 
 
-def filled(src: DataFrame, tgt: DataFrame, parts: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+def filled(src: DataFrame, tgt: DataFrame, parts: dict[str, DataFrame], keys: dict[str, str | tuple[str, str]]) -> DataFrame:
     """All pairs of positions with a column for each part; a pair that a part (a, b, score) lacks has 0 there.
 
-    keys names the column of both catalogs that a and b of a part are values of. Values are few beside the pairs.
+    keys names the column of the catalogs that a and b of a part are values of, one for both or one for each. Values
+    become positions and all parts one table of the pairs that any part has, so the product is joined once.
     """
-    need = ["pos", *dict.fromkeys(keys.values())]
-    out = all_pairs(src.select(*dict.fromkeys(need)), tgt.select(*dict.fromkeys(need)))
+    sparse = []
     for name, part in parts.items():
-        p = part.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("score").alias(name))
-        out = out.join(p, (out[f"src_{keys[name]}"] == p["_a"]) & (out[f"tgt_{keys[name]}"] == p["_b"]), "left").drop("_a", "_b").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return out
+        key = keys[name] if isinstance(keys[name], tuple) else (keys[name],) * 2
+        p = part.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("score").alias("_s"))
+        for df, k, ab, pos in ((src, key[0], "_a", "src_pos"), (tgt, key[1], "_b", "tgt_pos")):
+            p = p.withColumnRenamed(ab, pos) if k == "pos" else p.join(df.select(F.col(k).alias(ab), F.col("pos").alias(pos)), ab).drop(ab)
+        sparse.append(p.select("src_pos", "tgt_pos", *[(F.col("_s") if n == name else F.lit(0.0)).alias(n) for n in parts]))
+    some = reduce(DataFrame.unionAll, sparse).groupBy("src_pos", "tgt_pos").agg(*[F.sum(n).alias(n) for n in parts])
+    every = all_pairs(src.select("pos"), tgt.select("pos"))
+    return every.join(some, ["src_pos", "tgt_pos"], "left").na.fill(0.0, list(parts))
 
 
 # --- rules ----------------------------------------------------------------------------------------------------------
@@ -106,6 +112,7 @@ def heuristic(j: Column) -> Column:
     """The coarse rule: the first case that holds; equal names alone score 0."""
     exact, prefix, _ = name_signals()
     same = type_equal()
+    # fixed values
     cases = [
         (exact & same & (j >= 0.5), 0.28),
         (exact & same & (j >= 0.2), 0.08),
@@ -137,6 +144,7 @@ def steps(x: Column, *levels: tuple[float, float]) -> Column:
 def heuristic_support(j: Column) -> Column:
     a, b = side("name_norm")
     first4 = (a != "") & (b != "") & (F.left(a, F.lit(4)) == F.left(b, F.lit(4)))
+    # fixed values
     base = F.when((a != "") & (a == b), 0.060).when(first4, 0.008).otherwise(0.0) + part(type_equal(), 0.010)
     return base + F.when(base > 0, steps(j, (0.8, 0.010), (0.5, 0.004))).otherwise(0.0)
 
@@ -146,6 +154,7 @@ def strong(j: Column) -> Column:
     nj, no, po = S.jaccard_of(F.col("_n"), *side("names")), S.overlap_of(F.col("_n"), *side("names")), S.overlap_of(F.col("_p"), *side("paths"))
     fit = S.type_compat_b(*side("ctype"))
     signal = exact | (nj >= 0.8) | partial
+    # fixed values
     total = part(exact, 0.095) + part(partial, 0.012) + steps(nj, (0.8, 0.035), (0.5, 0.015)) + steps(no, (0.8, 0.012), (0.5, 0.004))
     total = total + F.when(signal, steps(j, (0.8, 0.008), (0.5, 0.003)) + part(po >= 0.8, 0.0015)).otherwise(0.0)
     a, b = side("ctype")
@@ -222,11 +231,10 @@ def bm25_of_values(s: DataFrame, t: DataFrame, key: str, rich: bool) -> DataFram
 
 def bm25_ensemble(src: DataFrame, tgt: DataFrame, rich: bool = True) -> DataFrame:
     s, t = sparse_catalog(src, rich), sparse_catalog(tgt, rich)
-    out = filled(s, t, {"overlap": token_overlap(s, t, "full", rich), "path_overlap": token_overlap(s, t, "path", rich), "type_score": same_types(s, t)}, {"overlap": "full", "path_overlap": "path", "type_score": "tbase"})
-    out = out.join(s.select(F.col("pos").alias("src_pos"), F.col("name").alias("_name"), F.col("raw_path").alias("_path")), "src_pos")
-    for name, key, col in (("full_bm", "full", "src_full"), ("name_bm", "name", "_name"), ("path_bm", "raw_path", "_path")):
-        p = bm25_of_values(s, t, key, rich).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("score").alias(name))
-        out = out.join(p, (out[col] == p["_a"]) & (out["tgt_pos"] == p["_b"]), "left").drop("_a", "_b").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    keys = {"full_bm": "full", "name_bm": "name", "path_bm": "raw_path"}
+    parts = {name: bm25_of_values(s, t, key, rich) for name, key in keys.items()}
+    parts |= {"overlap": token_overlap(s, t, "full", rich), "path_overlap": token_overlap(s, t, "path", rich), "type_score": same_types(s, t)}
+    out = filled(s, t, parts, {name: (key, "pos") for name, key in keys.items()} | {"overlap": "full", "path_overlap": "path", "type_score": "tbase"})
     return scored(out, 0.40 * F.col("full_bm") + 0.20 * F.col("name_bm") + 0.10 * F.col("path_bm") + 0.15 * F.col("overlap") + 0.05 * F.col("path_overlap") + 0.10 * F.col("type_score"))
 
 
@@ -241,6 +249,51 @@ def dense(embedder: Embedder) -> Matcher:
     return match
 
 
+#: Encoders by name, with what they put before a source and a target text and whether texts are normalised.
+ENCODERS = {
+    "m": ("", "", False),
+    "md": ("", "", False),
+    "mdv": ("", "", False),
+    "sbert": ("", "", True),
+    "e5": ("query: ", "passage: ", True),
+    "logsy": ("", "", True),
+    "roberta_diffcse": ("", "", True),
+}
+
+
+def encoder_text(catalog: DataFrame, encoder: str, role: str) -> DataFrame:
+    """catalog with `text` as the named encoder reads it: normalised where it asks for that, with its prefix for the role."""
+    query, passage, plain = ENCODERS[encoder.lower()]
+    text = X.serialize()
+    return catalog.withColumn("text", F.concat(F.lit(query if role == "query" else passage), X.normalize(text) if plain else text))
+
+
+def batch_embedder(encode: Callable[[list[str]], np.ndarray], batch: int = 32) -> Callable[[DataFrame], DataFrame]:
+    """An embedding column for a table with `text`, from a function of a list of texts; it runs on the executors in batches."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        rows = [v for at in range(0, len(texts), batch) for v in np.asarray(encode(texts.iloc[at : at + batch].tolist()), dtype=float)]
+        return pd.Series([v.tolist() for v in rows], index=texts.index, dtype=object)
+
+    return lambda df: df.withColumn("embedding", run(X.text("text")))
+
+
+def register_encoder(name: str, encode: Callable[[list[str]], np.ndarray]) -> None:
+    """Gives one of ENCODERS its model, a function of a list of texts that executors can import."""
+    if name.lower() not in ENCODERS:
+        raise ValueError(f"unknown encoder {name}; there are {sorted(ENCODERS)}")
+    embed = batch_embedder(encode)
+    register_matcher(name, dense(lambda catalog, role: embed(encoder_text(catalog, name, role))))
+
+
+def without_model(name: str) -> Matcher:
+    def fail(src: DataFrame, tgt: DataFrame) -> DataFrame:
+        raise NotImplementedError(f"the encoder {name} has no model here; give it one by register_encoder({name!r}, function)")
+
+    return fail
+
+
 def vectors(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
@@ -317,18 +370,55 @@ def constrained(base: DataFrame, src: DataFrame, tgt: DataFrame, alpha: float =
     )
 
 
+def component_features(name: str, type: str, path: str) -> tuple[Column, Column, Column]:
+    """What components compare: plain tokens of the name and path tokens as hashes, and the type."""
+    return X.hashed(X.plain_tokens(name)).alias("names"), X.type_base(type).alias("tbase"), X.hashed(X.path_tokens(path)).alias("paths")
+
+
 def component_scores(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """All pairs with name_score, path_score (Jaccard of plain and of path tokens) and type_score (equal types)."""
-    make = lambda df: df.select("pos", X.hashed(X.plain_tokens("name")).alias("names"), X.hashed(X.path_tokens("path")).alias("paths"), X.type_base("type").alias("tbase"))
+    make = lambda df: df.select("pos", *component_features("name", "type", "path"))
     a, b = side("tbase")
     jaccard = lambda f: S.jaccard_of(S.shared(*side(f)), *side(f))
     return all_pairs(make(src), make(tgt)).select("src_pos", "tgt_pos", jaccard("names").alias("name_score"), ((a == b) & (a != "")).cast("double").alias("type_score"), jaccard("paths").alias("path_score"))
 
 
+def component_cosines(src: DataFrame, tgt: DataFrame, embedder: Embedder) -> DataFrame:
+    """All pairs with the cosines of the embedded names, types and paths, as name_score, type_score and path_score.
+
+    An empty component is embedded as one space; a pair in which either side's component is empty has 0 there.
+    """
+
+    def embedded(catalog: DataFrame, role: str) -> DataFrame:
+        out = catalog.select("pos")
+        for c in ("name", "type", "path"):
+            text = catalog.select("pos", F.when(X.strip(c) == "", " ").otherwise(X.text(c)).alias("text"))
+            out = out.join(embedder(text, role).select("pos", F.when(F.btrim("text", F.lit(X.BLANKS)) != "", F.col("embedding")).alias(c)), "pos")
+        return out
+
+    cosine = lambda c: F.coalesce(S.cosine(*side(c)), F.lit(0.0)).alias(f"{c}_score")
+    return all_pairs(embedded(src, "query"), embedded(tgt, "passage")).select("src_pos", "tgt_pos", *map(cosine, ("name", "type", "path")))
+
+
+def overlap_score(name: Column, type_: Column, path: Column) -> Column:
+    return F.round(weighted(name, type_, path, 0.3, 0.5, 0.2), 6)
+
+
 def overlap_matcher(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """The flagship's matcher: weighted component similarities by built-in expressions alone."""
-    return component_scores(src, tgt).select("src_pos", "tgt_pos", F.round(weighted(F.col("name_score"), F.col("type_score"), F.col("path_score"), 0.3, 0.5, 0.2), 6).alias("score"))
+    return component_scores(src, tgt).select("src_pos", "tgt_pos", overlap_score(F.col("name_score"), F.col("type_score"), F.col("path_score")).alias("score"))
+
+
+def integrated_library(src: DataFrame, tgt: DataFrame, embedder: Embedder, alpha: float = 1.0, beta: float = 0.3, gamma: float = 1.0, delta: float = 0.1) -> DataFrame:
+    """Component cosines and BM25 of the whole texts, divided by the largest of all, as a weighted sum."""
+    parts = component_cosines(src, tgt, embedder)
+    tokens = lambda df, key: df.select(F.col("pos").alias(key), X.plain_tokens(F.concat_ws(" ", X.text("name"), X.text("type"), X.text("path"))).alias("tokens"))
+    lex = ranking.global_max_normalized(lexical.bm25(tokens(src, "src_pos"), tokens(tgt, "tgt_pos"))).withColumnRenamed("score", "_lex")
+    rows = parts.join(lex, ["src_pos", "tgt_pos"], "left")
+    return scored(rows, integrated(F.col("name_score"), F.col("type_score"), F.col("path_score"), F.coalesce("_lex", F.lit(0.0)), alpha, beta, gamma, delta))
 
 
 for _name, _matcher in {"rule": rule_enhanced, "rule_enh": rule_enhanced, "rule_heur": rule_heuristic, "tfidf": tfidf_ensemble, "bm25": bm25_ensemble, "overlap": overlap_matcher}.items():
     register_matcher(_name, _matcher)
+for _name in ENCODERS:
+    register_matcher(_name, without_model(_name))
