@@ -140,6 +140,7 @@ def tagged_component(c: Column | str, tag: str) -> Column:
 # --- normalisation and tokens ---------------------------------------------------------------------------------------
 def normalize(c: Column | str) -> Column:
     """Lower-case words of an identifier: boundaries of case and digits split, punctuation to spaces, Korean to English."""
+    # fixed values
     steps = [
         (r"([a-z])([A-Z])", "$1 $2"),
         (r"([A-Za-z])(\d)", "$1 $2"),
@@ -177,6 +178,7 @@ def expand(token: Column) -> Column:
         cut = F.substr(token, F.lit(1), F.length(token) - len(s))
         parts.append(when_tokens(~known & token.endswith(s) & (F.length(token) > len(s) + 1), cut, s))
     rest = F.substr(token, F.lit(4))
+    # fixed values
     for prefix, words in (("src", ["source"]), ("dst", ["destination"]), ("sip", ["source", "ip"]), ("dip", ["destination", "ip"])):
         parts.append(when_tokens(token.startswith(prefix) & (token != prefix), *words, rest))
     parts.append(when_tokens(token.startswith("nat"), "nat"))

@@ -190,3 +190,24 @@ ISOTONIC = """, pre AS (
 
 def chance(seed: int, *parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def ratio(names_a: str, names_b: str) -> str:
+    """CTEs that end in ratio(a, b, ratio) for all pairs of names_a(a) and names_b(b): twice the characters in matching
+    blocks over all. A block is the longest of a stretch, first in a, then in b; what is left and right of it follows.
+
+    The query must begin WITH RECURSIVE.
+    """
+    return f"""ra AS ({names_a}), rb AS ({names_b}), rn AS (SELECT a, b FROM ra CROSS JOIN rb),
+rc AS (SELECT a, b, i, j FROM (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM rn) CROSS JOIN LATERAL (SELECT unnest(range(1, length(b) + 1)) AS j) WHERE substr(a, i, 1) = substr(b, j, 1)),
+rg AS (SELECT a, b, i, j, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM rc),
+rr AS (SELECT a, b, i, j, max(i) OVER (PARTITION BY a, b, i - j, g) - i + 1 AS len FROM rg),
+rs(a, b, al, ah, bl, bh, k) AS (
+  SELECT a, b, 1::BIGINT, length(a) + 1, 1::BIGINT, length(b) + 1, 0::BIGINT FROM rn
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN al ELSE i + len END, CASE side WHEN 0 THEN i ELSE ah END, CASE side WHEN 0 THEN bl ELSE j + len END, CASE side WHEN 0 THEN j ELSE bh END, CASE side WHEN 0 THEN len ELSE 0 END
+  FROM (
+    SELECT a, b, al, ah, bl, bh, m.len AS len, -m.i AS i, -m.j AS j
+    FROM (SELECT rs.a, rs.b, al, ah, bl, bh, max({{'len': least(rr.len, ah - rr.i, bh - rr.j), 'i': -rr.i, 'j': -rr.j}}) AS m FROM rs JOIN rr ON rr.a = rs.a AND rr.b = rs.b AND rr.i >= al AND rr.i < ah AND rr.j >= bl AND rr.j < bh GROUP BY ALL)
+  ), (VALUES (0), (1)) sides(side)
+), ratio AS (SELECT a, b, CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 2.0::DOUBLE * sum(k) / (length(a) + length(b)) END AS ratio FROM rs GROUP BY a, b)"""

@@ -61,9 +61,8 @@ def pair_scan(spark, sf_dir):
     """Labelled pairs: a finished order has label 0, an open one 1, others none, which is 1."""
     o = table(spark, sf_dir, "orders")
     label = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
-    rows = o.select(F.to_json(F.struct(F.col("o_custkey").cast("string").alias("source"), F.col("o_orderkey").cast("string").alias("target"), label.alias("label"))).alias("v"))
-    p = rows.select(F.from_json("v", "source string, target string, label int").alias("p")).select("p.*")
-    return p.where(F.coalesce("label", F.lit(1)) == 1).select("source", "target")
+    rows = o.select(F.to_json(F.struct(F.col("o_custkey").cast("string").alias("source"), F.col("o_orderkey").cast("string").alias("target"), label.alias("label"))).alias("value"))
+    return catalog.parse_pairs(rows)
 
 
 @query(
@@ -77,7 +76,7 @@ def paired_texts(spark, sf_dir):
     text = X.serialize(drop_type=True, drop_path=True)
     lost = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.col("n_name").alias("target"))
     rows = catalog.part_pairs(spark, sf_dir, same_type=True).union(lost)
-    return catalog.paired_texts(rows, src.withColumn("text", text), tgt.withColumn("text", text), max_pairs=1 << 30)
+    return catalog.paired_texts(rows, src.withColumn("text", text), tgt.withColumn("text", text), max_pairs=None)
 
 
 @query("""SELECT md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5, min(doc_id) AS line_no FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY 1""")
@@ -376,12 +375,6 @@ def calibration_split_summary(spark, sf_dir):
     return tops.agg(F.count("*").alias("n_eval"), F.round(F.avg("conf"), 6).alias("mean_conf"), F.round(F.avg("correct"), 6).alias("mean_correct"))
 
 
-@query()
-def calibration_table(spark, sf_dir):
-    s, _, src, tgt = base_scores(spark, sf_dir)
-    return evaluation.calibration_table(s, catalog.part_pairs(spark, sf_dir), src, tgt)
-
-
 @query(
     """WITH v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality::DOUBLE AS value FROM labels), n AS (SELECT count(*) AS n FROM v),
 d AS (SELECT b, ('0x' || substr(md5('42:' || b || ':' || j), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(200)) AS b) CROSS JOIN (SELECT n, unnest(range(n)) AS j FROM n)),
@@ -493,15 +486,25 @@ def rule_enhanced(spark, sf_dir):
     return top3(matchers.rule_enhanced(catalog.part_sources(spark, sf_dir), catalog.part_targets(spark, sf_dir)))
 
 
-@query()
+def bare(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+
+PART_RATIOS = O.ratio(f"SELECT DISTINCT {bare('p_name')} AS a FROM part", f"SELECT DISTINCT {bare('p_name')} AS b FROM part")
+
+
+@query(f"WITH RECURSIVE {PART_RATIOS} SELECT a, b, round(ratio, 6) AS ratio FROM ratio")
 def lexical_bonus(spark, sf_dir):
-    """Character ratio of every two distinct names; no SQL has it."""
+    """Character ratio of every two distinct names."""
     ship(spark)
     names = table(spark, sf_dir, "part").select(S.bare_name("p_name").alias("a")).distinct()
     return names.crossJoin(names.select(F.col("a").alias("b"))).select("a", "b", F.round(S.name_ratio("a", "b"), 6).alias("ratio"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {O.COMPONENTS}, {PART_RATIOS}, f AS (SELECT src_pos, tgt_pos, a.type AS ta, b.type AS tb, {bare('a.name')} AS na, {bare('b.name')} AS nb, name_score, type_score, path_score FROM parts JOIN src a ON a.pos = src_pos JOIN tgt b ON b.pos = tgt_pos),
+s AS (SELECT src_pos, tgt_pos, round((1.0::DOUBLE * round(0.3::DOUBLE * name_score + 0.5::DOUBLE * type_score + 0.2::DOUBLE * path_score, 6) + 0.3 * {O.compatibility(V.TYPE_COMPAT_A, 'ta', 'tb')} + 0.2 * path_score + 0.1 * ratio) / 1.6::DOUBLE, 6) AS score FROM f JOIN ratio r ON r.a = na AND r.b = nb) {TOP3}"""
+)
 def constrained_scores(spark, sf_dir):
     """Overlap scores as the cosine, with type, path and character constraints."""
     s, _, src, tgt = base_scores(spark, sf_dir)
@@ -658,11 +661,6 @@ def contrastive_views(spark, sf_dir):
     return training.contrastive_views(view_lines(spark, sf_dir)).select("line_no", "view")
 
 
-@query()
-def varclr_views(spark, sf_dir):
-    return training.varclr_views(view_lines(spark, sf_dir), progress=0.5).select("line_no", "view")
-
-
 @query(
     """WITH k AS (SELECT o_orderkey AS line_no, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
 SELECT line_no, CAST(floor(k / 64) AS BIGINT) AS batch FROM k WHERE floor(k / 64) < floor(n / 64)"""

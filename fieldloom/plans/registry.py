@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import surface  # noqa: F401  registers its queries beside the others
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from dataclasses import asdict, dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,17 +102,21 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return parse_catalog(numbered_lines(spark, path))
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(source, target) of a JSON-lines file: those with label 1, which is the default. Repeated pairs stay."""
-    rows = spark.read.schema("source string, target string, label int").json(path)
+def parse_pairs(lines: DataFrame) -> DataFrame:
+    """(source, target) of lines(value) of JSON: those with label 1, which is the default. Repeated pairs stay."""
+    rows = lines.select(F.from_json("value", "source string, target string, label int").alias("p")).select("p.*")
     return rows.where(F.coalesce("label", F.lit(1)) == 1).select("source", "target")
 
 
-def paired_texts(pairs: DataFrame, source: DataFrame, target: DataFrame, max_pairs: int = 100_000) -> DataFrame:
-    """(source, target, text_a, text_b): the first max_pairs pairs with both texts, an unknown id giving none."""
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return parse_pairs(numbered_lines(spark, path))
+
+
+def paired_texts(pairs: DataFrame, source: DataFrame, target: DataFrame, max_pairs: int | None = 100_000) -> DataFrame:
+    """(source, target, text_a, text_b): the first max_pairs pairs, or all, with both texts, an unknown id giving none."""
     a = source.select(F.col("field_id").alias("source"), F.col("text").alias("text_a"))
     b = target.select(F.col("field_id").alias("target"), F.col("text").alias("text_b"))
-    first = pairs.withColumn("_n", F.monotonically_increasing_id()).orderBy("_n").limit(max_pairs).drop("_n")
+    first = pairs if max_pairs is None else pairs.withColumn("_n", F.monotonically_increasing_id()).orderBy("_n").limit(max_pairs).drop("_n")
     return first.join(a, "source", "left").join(b, "target", "left").select("source", "target", X.text("text_a").alias("text_a"), X.text("text_b").alias("text_b"))
 
 
@@ -129,30 +135,27 @@ def raw_line(c: Column | str) -> Column:
     return F.when(c.contains("<") & c.contains(">") & c.contains(":"), X.strip(F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1))).otherwise(c)
 
 
-def read_training_lines(spark: SparkSession, path: str, mode: str = "nmo", strict_header: bool = True, multiplier: int = 1, **flags) -> DataFrame:
-    """(line_no, text): the serialised rows of a CSV file with a header, without one, or of raw lines.
+def header_cells(line: str) -> list[str]:
+    """The names of a header line in lower case, without a byte order mark; quoted commas do not part them."""
+    return [c.strip().lower() for c in next(csv.reader([line.replace("\ufeff", "")]))]
 
-    Without a header: five or more cells are name, desc, path, type, example; four lack the example; three are name,
-    type, path; other lines are taken as they are. A file that does not exist is an empty table.
+
+def parse_training(lines: DataFrame, first: str, first_no: int, mode: str = "nmo", strict_header: bool = True, multiplier: int = 1, **flags) -> DataFrame:
+    """(line_no, text): the serialised rows of lines(line_no, value), of which `first` is the first, numbered first_no.
+
+    With a header, cells are bound by its names. Without one: five or more cells are name, desc, path, type, example;
+    four lack the example; three are name, type, path; other lines are taken as they are.
     """
-    empty = spark.createDataFrame([], "line_no long, text string")
-    try:
-        lines = numbered_lines(spark, path)
-        first = lines.orderBy("line_no").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return empty
-        raise
-    if first is None:
-        return empty
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(64)), {"mode": "PERMISSIVE"})
     n = F.size(F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
-    if looks_like_header(first.value, strict_header):
-        names = [c.replace("﻿", "").strip().strip('"').lower() for c in first.value.split(",")]
+    if looks_like_header(first, strict_header):
+        names = header_cells(first)
+        cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"mode": "PERMISSIVE"})
         at = lambda *keys: F.coalesce(*[F.nullif(F.col(f"r.c{names.index(k)}"), F.lit("")) for k in keys if k in names], F.lit(""))
-        rows = lines.where(F.col("line_no") != first.line_no).select("line_no", "value", cells.alias("r"))
+        rows = lines.where(F.col("line_no") != first_no).select("line_no", "value", cells.alias("r"))
         fields = rows.select("line_no", "value", at("name").alias("name"), at("type").alias("type"), at("path").alias("path"), at("desc", "description").alias("desc"), at("example", "examples", "ex").alias("example"), F.lit(True).alias("structured"))
     else:
+        # what follows the fifth cell is not read
+        cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(5)), {"mode": "PERMISSIVE"})
         rows = lines.select("line_no", "value", cells.alias("r"), n.alias("n"))
         pick = lambda five, three: F.when(F.col("n") >= 4, F.col(f"r.c{five}") if five is not None else F.lit("")).when(F.col("n") == 3, F.col(f"r.c{three}") if three is not None else F.lit(""))
         fields = rows.select("line_no", "value", pick(0, 0).alias("name"), pick(3, 1).alias("type"), pick(2, 2).alias("path"), pick(1, None).alias("desc"), F.when(F.col("n") >= 5, F.col("r.c4")).otherwise("").alias("example"), (F.col("n") >= 3).alias("structured"))
@@ -161,6 +164,25 @@ def read_training_lines(spark: SparkSession, path: str, mode: str = "nmo", stric
     return out if multiplier <= 1 else out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(multiplier)))).drop("_copy")
 
 
+def read_training_lines(spark: SparkSession, path: str, mode: str = "nmo", **options) -> DataFrame:
+    """parse_training() of a text file; a file that does not exist, or is empty, is an empty table."""
+    empty = spark.createDataFrame([], "line_no long, text string")
+    try:
+        lines = numbered_lines(spark, path)
+        first = lines.orderBy("line_no").first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return empty
+        raise
+    return empty if first is None else parse_training(lines, first.value, first.line_no, mode, **options)
+
+
+def read_training_files(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """(file_no, line_no, text) of several files, each with its own header or none, in the order given."""
+    files = [read_training_lines(spark, path, **options).select(F.lit(i).alias("file_no"), "line_no", "text") for i, path in enumerate(paths)]
+    return reduce(DataFrame.unionByName, files)
+
+
 def distinct_texts(lines: DataFrame) -> DataFrame:
     """(line_no, text): each stripped text once, at its first line; empty ones go."""
     return lines.select("line_no", X.strip("text").alias("text")).where("text <> ''").groupBy("text").agg(F.min("line_no").alias("line_no")).select("line_no", "text")
