@@ -20,6 +20,9 @@ def main() -> None:
     p.add_argument("--constrain", action="store_true")
     p.add_argument("--calibrate", action="store_true")
     p.add_argument("--assign", action="store_true")
+    p.add_argument("--pairs-calib", help="pairs that calibrate, instead of a share of --pairs")
+    p.add_argument("--n-boot", type=int, default=0, help="resamples for intervals of the metrics")
+    p.add_argument("--weights", type=float, nargs=3, default=(0.4, 0.2, 0.4), metavar=("NAME", "TYPE", "PATH"))
     defaults = RunConfig()
     for name, value in vars(defaults).items():
         if isinstance(value, bool):
@@ -29,8 +32,8 @@ def main() -> None:
     a = p.parse_args()
     options = {}
     if a.mode == "single":
-        options = {"config": RunConfig(**{k: getattr(a, k) for k in vars(defaults) if k != "mode"}), "constrain": a.constrain, "calibrate": a.calibrate, "assign": a.assign}
-    print(json.dumps(evaluation.run(local_session(), a.fields_a, a.fields_b, a.pairs, a.mode, a.matcher, **options), ensure_ascii=False))
+        options = {"config": RunConfig(**{k: getattr(a, k) for k in vars(defaults) if k != "mode"}), "constrain": a.constrain, "calibrate": a.calibrate, "assign": a.assign, "n_boot": a.n_boot}
+    print(json.dumps(evaluation.run(local_session(), a.fields_a, a.fields_b, a.pairs, a.mode, a.matcher, a.pairs_calib, tuple(a.weights), **options), ensure_ascii=False))
 
 
 if __name__ == "__main__":

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import saved
 from ..shipping import ship
+from .components import components
 
 #: Pairs of the largest problem that is taken; the algorithm needs the whole table in one task and cubic time.
 MOST_PAIRS = 25_000_000
@@ -54,13 +56,23 @@ def solve(cost: np.ndarray) -> np.ndarray:
 def assign(scores: DataFrame, tau: float | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(src_pos, tgt_pos) of the assignment with the largest total score; -1 is unmatched.
 
-    With tau every source may stay unmatched at that score, and a match below it is refused. The number of pairs is
-    counted first; a table beyond most_pairs is an error, as the whole of it goes to one task.
+    With tau every source may stay unmatched at that score, and a match below it is refused: then only pairs of at
+    least tau matter, and each connected part of these is a problem of its own, so tables of any size are dealt over
+    all tasks. A single problem goes to one task; its table is counted first, and one beyond most_pairs is an error.
     """
     ship(scores.sparkSession)
-    n = scores.count()
-    if n > most_pairs:
-        raise ValueError(f"{n} pairs are more than one task can assign ({most_pairs}); block the catalogs first")
+    if tau is None:
+        parts = scores.select("src_pos", "tgt_pos", "score", F.lit(0).cast("long").alias("part"))
+    else:
+        fine = saved(scores.where(F.col("score") >= tau).select("src_pos", "tgt_pos", "score"), "assignable")
+        # sources are even nodes, targets odd ones
+        found = components(fine.select((F.col("src_pos") * 2).alias("a"), (F.col("tgt_pos") * 2 + 1).alias("b")))
+        parts = fine.withColumn("node", F.col("src_pos") * 2).join(found.withColumnRenamed("component", "part"), "node").drop("node")
+    sizes = parts.groupBy("part").agg(F.count_distinct("src_pos").alias("n"), F.count_distinct("tgt_pos").alias("m"))
+    cells = F.col("n") * (F.col("m") + (F.col("n") if tau is not None else F.lit(0)))
+    largest = sizes.agg(F.max(cells)).first()[0] or 0
+    if largest > most_pairs:
+        raise ValueError(f"{largest} pairs are more than one task can assign ({most_pairs}); block the catalogs first")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.unique(pdf["src_pos"]), np.unique(pdf["tgt_pos"])
@@ -73,7 +85,10 @@ def assign(scores: DataFrame, tau: float | None = None, most_pairs: int = MOST_P
         fine &= got > -1e9 if tau is None else got >= tau
         return pd.DataFrame({"src_pos": rows, "tgt_pos": np.where(fine, cols[np.where(fine, at, 0)], -1)})
 
-    return scores.select("src_pos", "tgt_pos", "score", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(one, "src_pos long, tgt_pos long")
+    solved = parts.groupBy("part").applyInPandas(one, "src_pos long, tgt_pos long")
+    if tau is None:
+        return solved
+    return scores.select("src_pos").distinct().join(solved, "src_pos", "left").select("src_pos", F.coalesce("tgt_pos", F.lit(-1).cast("long")).alias("tgt_pos"))
 
 
 def assignment_accuracy(assigned: DataFrame, truth: DataFrame) -> DataFrame:

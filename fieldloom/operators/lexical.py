@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, no_tokens
+from ..shared import saved
 
 
 #: Postings of a term that one task takes of either side, about.
@@ -66,7 +67,7 @@ def tfidf_weights(terms: DataFrame, max_df: float) -> DataFrame:
     """(doc, term, w) from terms(doc, terms): sublinear counts, smoothed idf, unit length; terms in more than max_df of the documents go."""
     size = terms.agg(F.count("*").alias("n"))  # one row
     # counted here and again for the document frequencies
-    counts = terms.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")).persist()
+    counts = saved(terms.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")), "counts")
     df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where(F.col("df") <= max_df * F.col("n"))
     raw = counts.join(df, "term").select("doc", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc"))))
@@ -86,7 +87,7 @@ def tfidf_cosine(corpus: DataFrame, tokens: Column, text: Column) -> DataFrame:
     side = corpus.select("doc", "is_source")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
     # both sides of the join read it
-    unit = weights.select("doc", "block", "term", (F.col("w") / length).alias("w")).join(side, "doc").persist()
+    unit = saved(weights.select("doc", "block", "term", (F.col("w") / length).alias("w")).join(side, "doc"), "weights")
     a = unit.where("is_source").select(F.col("doc").alias("a"), "block", "term", F.col("w").alias("wa"))
     b = unit.where("not is_source").select(F.col("doc").alias("b"), "block", "term", F.col("w").alias("wb"))
     return join_terms(a, b, ["block", "term"], "a", "b", corpus.count()).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..shared import saved
 from ..shipping import ship
 from . import lexical, ranking
 from .pairs import all_pairs, by_distinct
@@ -88,8 +89,8 @@ PAIRED = ("pos", "name_norm", "ctype", "is_src", "is_dst")
 
 
 def paired_features(catalog: DataFrame) -> DataFrame:
-    """rule_features() cut to what a pair compares, with token sets as hashes; both sides of a join read it once."""
-    return rule_features(catalog).select(*PAIRED, X.hashed(F.col("name_tokens")).alias("names"), X.hashed(F.col("path_tokens")).alias("paths")).persist()
+    """rule_features() cut to what a pair compares, with token sets as hashes."""
+    return rule_features(catalog).select(*PAIRED, X.hashed(F.col("name_tokens")).alias("names"), X.hashed(F.col("path_tokens")).alias("paths"))
 
 
 def side(feature: str) -> tuple[Column, Column]:
@@ -187,11 +188,11 @@ def sparse_catalog(catalog: DataFrame, rich: bool = True) -> DataFrame:
     """pos with the texts and tokens that sparse matchers compare, and the type."""
     full = X.sparse_text() if rich else F.btrim(F.concat_ws(" ", X.normalize("name"), X.normalize("path"), X.normalize("type")), F.lit(" "))
     # read by several parts of an ensemble
-    return catalog.select("pos", "name", F.replace(X.text("path"), F.lit("."), F.lit(" ")).alias("path"), X.text("path").alias("raw_path"), X.type_base("type").alias("tbase"), full.alias("full")).persist()
+    return saved(catalog.select("pos", "name", F.replace(X.text("path"), F.lit("."), F.lit(" ")).alias("path"), X.text("path").alias("raw_path"), X.type_base("type").alias("tbase"), full.alias("full")), "sparse")
 
 
 def values(catalog: DataFrame, key: str, name: str, tokens: Callable[[str], Column]) -> DataFrame:
-    return catalog.select(F.col(key).alias(name)).distinct().withColumn("tokens", tokens(name)).persist()
+    return catalog.select(F.col(key).alias(name)).distinct().withColumn("tokens", tokens(name))
 
 
 def token_overlap(s: DataFrame, t: DataFrame, key: str, rich: bool) -> DataFrame:

@@ -18,23 +18,25 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def all_pairs(src: DataFrame, tgt: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Every source with every target; columns are prefixed with src_ and tgt_.
+def product(a: DataFrame, b: DataFrame, key_a: str, key_b: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Every row of a with every row of b; no column name is in both.
 
-    A catalog of targets is usually small and broadcast. A larger one is dealt into blocks of about `limit` rows, and
-    each source visits every block by an equi-join, so no task holds more than a block of targets.
+    b is counted. Up to `limit` rows it is broadcast, and a is dealt by its key before the product: as many tasks as
+    shuffles have, and what ranks or sums the rows of a key finds them together, so pairs are not shuffled. Beyond it
+    both sides are dealt into blocks of about `limit` rows, and a task joins one block of each.
     """
-    s, t = prefixed(src, "src_"), prefixed(tgt, "tgt_")
-    n = tgt.count()
+    n = b.count()
     if n <= limit:
-        # dealt by source before the product: as many tasks as shuffles have, and what ranks or sums the targets of
-        # a source finds them together, so the pairs themselves are not shuffled
-        parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return s.repartition(parts, "src_pos").crossJoin(F.broadcast(t))
-    blocks = -(-n // limit)
-    s = s.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    t = t.withColumn("_block", F.pmod(F.xxhash64("tgt_pos"), F.lit(blocks)).cast("int"))
-    return s.join(t, "_block").drop("_block")
+        parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return a.repartition(parts, key_a).crossJoin(F.broadcast(b))
+    blocks_a, blocks_b = max(1, -(-a.count() // limit)), -(-n // limit)
+    deal = lambda df, key, mine, its, other, count: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(its)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return deal(a, key_a, "_a", blocks_a, "_b", blocks_b).join(deal(b, key_b, "_b", blocks_b, "_a", blocks_a), ["_a", "_b"]).drop("_a", "_b")
+
+
+def all_pairs(src: DataFrame, tgt: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Every source with every target; columns are prefixed with src_ and tgt_."""
+    return product(prefixed(src, "src_"), prefixed(tgt, "tgt_"), "src_pos", "tgt_pos", limit)
 
 
 def by_distinct(pairs: DataFrame, src: DataFrame, tgt: DataFrame, key: str, score: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def by_distinct(pairs: DataFrame, src: DataFrame, tgt: DataFrame, key: str, scor
     ship(pairs.sparkSession)
     a = src.select(F.col(key).alias("a")).distinct()
     b = tgt.select(F.col(key).alias("b")).distinct()
-    table = a.crossJoin(b).withColumn(name, score(F.col("a"), F.col("b")))
+    table = product(a, b, "a", "b").withColumn(name, score(F.col("a"), F.col("b")))
     return pairs.join(table, pairs[f"src_{key}"].eqNullSafe(table.a) & pairs[f"tgt_{key}"].eqNullSafe(table.b)).drop("a", "b")
 
 

@@ -185,3 +185,6 @@ class Evaluator:
             raise NotImplementedError(f"no bootstrap for {metric}")
         numbered = self.rows.select((F.row_number().over(Window.orderBy("src_pos")) - 1).cast("long").alias("i"), value.cast("double").alias("value"))
         return bootstrap_ci(numbered, n_boot)
+
+    def close(self) -> None:
+        self.rows.unpersist()

@@ -25,11 +25,15 @@ def part_setup(spark: SparkSession, sf_dir: str, same_type: bool = False) -> tup
     return src, tgt, pairs.truth(catalog.part_pairs(spark, sf_dir, same_type), src, tgt)
 
 
-def single(src: DataFrame, tgt: DataFrame, pair_table: DataFrame, matcher: str = "rule", config: catalog.RunConfig | None = None, constrain: bool = False, calibrate: bool = False, assign: bool = False) -> dict:
-    """One matcher: ranking metrics, calibration error, and what else is asked for, as a flat dictionary."""
+def single(src: DataFrame, tgt: DataFrame, pair_table: DataFrame, matcher: str = "rule", config: catalog.RunConfig | None = None, constrain: bool = False, calibrate: bool = False, assign: bool = False, calib_pairs: DataFrame | None = None, n_boot: int = 0) -> dict:
+    """One matcher: ranking metrics, calibration error, and what else is asked for, as a flat dictionary.
+
+    Calibration uses calib_pairs where they are given, and all of pair_table is evaluated; else a share of its sources.
+    n_boot resamples give intervals of Hit@1, Hit@3, Hit@5 and MRR.
+    """
     c = config or catalog.RunConfig()
     began = time.time()
-    split = pairs.split_by_source(pair_table, c.calib_ratio, c.calib_seed) if calibrate else pair_table.withColumn("part", F.lit("eval"))
+    split = calibration_pairs(pair_table, calib_pairs, c) if calibrate else pair_table.withColumn("part", F.lit("eval"))
     truth = pairs.truth(split.where("part = 'eval'"), src, tgt).persist()
     scores = matchers.score(matcher, src, tgt)
     if constrain:
@@ -49,12 +53,25 @@ def single(src: DataFrame, tgt: DataFrame, pair_table: DataFrame, matcher: str =
         table = probs.select("src_pos", "tgt_pos", F.col("prob").alias("score")) if calibrate else of_eval
         row = assignment.assignment_accuracy(assignment.assign(table, c.assign_tau), truth).first()
         out |= {"assign_accuracy": row.accuracy, "assign_coverage": row.coverage}
+    if n_boot:
+        evaluator = ranking.Evaluator(scores, truth)
+        for metric in ("hit@1", "hit@3", "hit@5", "mrr"):
+            row = evaluator.bootstrap(metric, n_boot).first()
+            out[f"{metric}_ci"] = [row.lower, row.upper]
+        evaluator.close()
     out["timing_sec"] = round(time.time() - began, 3)
     scores.unpersist()
     truth.unpersist()
     return out
 
 
+def calibration_pairs(pair_table: DataFrame, calib_pairs: DataFrame | None, c: catalog.RunConfig) -> DataFrame:
+    """pairs with `part`: those of another table calibrate, or else a share of the sources."""
+    if calib_pairs is None:
+        return pairs.split_by_source(pair_table, c.calib_ratio, c.calib_seed)
+    return pair_table.select("source", "target", F.lit("eval").alias("part")).union(calib_pairs.select("source", "target", F.lit("calib")))
+
+
 def sweep(src: DataFrame, tgt: DataFrame, pair_table: DataFrame, names: list[str] | None = None) -> dict[str, dict]:
     """Every matcher by itself; one that fails reports its error and does not stop the others."""
     out = {}
@@ -74,10 +91,10 @@ def component_table(src: DataFrame, tgt: DataFrame, truth: DataFrame, w_name: fl
     return ranking.summary(reduce(DataFrame.unionByName, rows), "setting")
 
 
-def calibration_table(scores: DataFrame, pair_table: DataFrame, src: DataFrame, tgt: DataFrame, config: catalog.RunConfig | None = None) -> DataFrame:
+def calibration_table(scores: DataFrame, pair_table: DataFrame, src: DataFrame, tgt: DataFrame, config: catalog.RunConfig | None = None, calib_pairs: DataFrame | None = None) -> DataFrame:
     """Calibration error before and after, over sources that did not calibrate, with the same bins, and the improvement."""
     c = config or catalog.RunConfig()
-    split = pairs.split_by_source(pair_table, c.calib_ratio, c.calib_seed)
+    split = calibration_pairs(pair_table, calib_pairs, c)
     truth = pairs.truth(split.where("part = 'eval'"), src, tgt)
     both = calibration.calibrate(scores, truth, pairs.truth(split.where("part = 'calib'"), src, tgt))
     if both is None:
@@ -111,6 +128,15 @@ def latency(src: DataFrame, tgt: DataFrame, matcher: str = "overlap") -> dict[st
     return {k: round(v, 4) for k, v in out.items()}
 
 
+def latency3(src: DataFrame, tgt: DataFrame, matcher: str = "overlap") -> dict[str, float]:
+    """latency() in three stages: texts, scores with ranks, softmax."""
+    one = latency(src, tgt, matcher)
+    out = {"embed_sec": one["encode_a_sec"] + one["encode_b_sec"], "score_rank_sec": one["score_sec"] + one["rank_sec"], "calibration_sec": one["calibration_sec"]}
+    out["total_sec"] = sum(out.values())
+    out["ms_per_source"] = one["ms_per_source"]
+    return {k: round(v, 4) for k, v in out.items()}
+
+
 def benchmark(src: DataFrame, tgt: DataFrame, pair_table: DataFrame, path: str | None = None) -> dict:
     """All tables in one run over shared catalogs; written as JSON where a path is given."""
     truth = pairs.truth(pair_table, src, tgt)
@@ -128,26 +154,29 @@ def benchmark(src: DataFrame, tgt: DataFrame, pair_table: DataFrame, path: str |
     return out
 
 
-MODES = ("single", "all", "table3", "table4", "stress", "latency", "dataset_stats")
+MODES = ("single", "all", "table3", "table4", "stress", "latency", "latency3", "dataset_stats")
 
 
-def run(spark: SparkSession, fields_a: str, fields_b: str, pair_file: str, mode: str = "single", matcher: str = "rule", **options) -> dict:
+def run(spark: SparkSession, fields_a: str, fields_b: str, pair_file: str, mode: str = "single", matcher: str = "rule", pairs_calib: str | None = None, weights: tuple[float, float, float] = (0.4, 0.2, 0.4), **options) -> dict:
     """A mode over catalogs and pairs in JSON-lines files; what the command line calls."""
+    calib = catalog.read_pairs(spark, pairs_calib) if pairs_calib else None
     src, tgt, table = catalog.read_catalog(spark, fields_a), catalog.read_catalog(spark, fields_b), catalog.read_pairs(spark, pair_file)
     truth = pairs.truth(table, src, tgt)
     rows = lambda df: [r.asDict() for r in df.collect()]
     if mode == "single":
-        return single(src, tgt, table, matcher, **options)
+        return single(src, tgt, table, matcher, calib_pairs=calib, **options)
     if mode == "all":
         return sweep(src, tgt, table)
     if mode == "table3":
-        return {r["setting"]: r for r in rows(component_table(src, tgt, truth))}
+        return {r["setting"]: r for r in rows(component_table(src, tgt, truth, *weights))}
     if mode == "table4":
-        return (rows(calibration_table(matchers.score(matcher, src, tgt), table, src, tgt)) or [{}])[0]
+        return (rows(calibration_table(matchers.score(matcher, src, tgt), table, src, tgt, calib_pairs=calib)) or [{}])[0]
     if mode == "stress":
         return {r["setting"]: r for r in rows(stress.stress(src, tgt, truth, matchers.MATCHERS[matcher]))}
     if mode == "latency":
         return latency(src, tgt, matcher)
+    if mode == "latency3":
+        return latency3(src, tgt, matcher)
     if mode == "dataset_stats":
         return rows(pairs.dataset_stats(table, src, tgt))[0]
     raise ValueError(f"unknown mode {mode}; there are {MODES}")

@@ -1,10 +1,11 @@
-"""The folder for written tables that the driver and all executors see."""
+"""Written tables, in a folder that the driver and all executors see."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; written tables go there")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
     return context.getCheckpointDir().rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def again(df: DataFrame) -> DataFrame:
+    """Another read of a table made by saved(): the two sides of a cogroup need distinct ones."""
+    return df.sparkSession.read.schema(df.schema).parquet(df.saved_path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by saved() that no plan will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

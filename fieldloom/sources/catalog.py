@@ -80,9 +80,23 @@ def normalized_record() -> list[Column]:
     ]
 
 
+#: Up to so many records one task numbers a catalog; beyond it, ranges of the order are numbered apart.
+NUMBERED_AT_ONCE = 200_000
+
+
 def positions(df: DataFrame, order: str = "first_line") -> DataFrame:
-    """Gapless positions from 0 by `order`. A catalog is small beside the pairs it makes; a single sort numbers it."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1).drop(order)
+    """Gapless positions from 0 by `order`, a number that no two rows share."""
+    n = df.count()
+    if n <= NUMBERED_AT_ONCE:
+        return df.withColumn("pos", (F.row_number().over(Window.orderBy(order)) - 1).cast("long")).drop(order)
+    parts = -(-n // NUMBERED_AT_ONCE)
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts)
+    part = reduce(lambda out, c: out + (F.col(order) > c).cast("int"), cuts, F.lit(0))
+    rows = df.withColumn("_part", part)
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return rows.join(F.broadcast(before), "_part").withColumn("pos", at.cast("long")).drop(order, "_part", "_before")
 
 
 def parse_catalog(lines: DataFrame) -> DataFrame:

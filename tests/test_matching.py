@@ -273,7 +273,7 @@ def test_tfidf_over_rich_tokens(spark, fields):
         assert got.get((f"s{i}", f"t{j}"), 0.0) == pytest.approx(cosine(i, 3 + j))
 
 
-@pytest.mark.parametrize("name", sorted(matchers.MATCHERS))
+@pytest.mark.parametrize("name", sorted(matchers.MATCHERS.keys() - matchers.ENCODERS.keys()))
 def test_every_matcher_finds_the_pairs(spark, fields, name):
     src, tgt, table = fields
     got = matchers.score(name, src, tgt)
@@ -390,3 +390,137 @@ def test_streaming(spark, fields, tmp_path):
     q = score_each_batch(stream, tgt, "rule", lambda df, n: seen.extend(df.collect()), str(tmp_path / "state"), 1)
     q.awaitTermination()
     assert {r.field_id for r in seen} == {"src_ip", "src_port", "action"}
+
+
+def brute_ranks(rows, sets, ks=(3, 5)):
+    """{source: (best rank, ndcg...)} by sorting, ties to the smaller position."""
+    out = {}
+    for i, targets in sets.items():
+        order = [j for _, j in sorted((-s, j) for a, j, s in rows if a == i)]
+        hits = [order.index(j) + 1 for j in targets if j in order]
+        if hits:
+            gain = lambda k: sum(1 / math.log2(r + 1) for r in hits if r <= k) / sum(1 / math.log2(r + 1) for r in range(1, min(k, len(hits)) + 1))
+            out[i] = (min(hits), *[round(gain(k), 9) for k in ks])
+    return out
+
+
+def test_ranks_without_sorting(spark):
+    rng = random.Random(11)
+    rows = [(i, j, rng.randrange(8) / 4, -float(j)) for i in range(12) for j in range(30)]
+    sets = {i: set(rng.sample(range(32), rng.randrange(9))) for i in range(11)}
+    table = spark.createDataFrame(rows, "src_pos long, tgt_pos long, one double, two double")
+    known = spark.createDataFrame([(i, j) for i, s in sets.items() for j in s], "src_pos long, tgt_pos long")
+    got = ranking.per_source_of(table, known, ["one", "two"]).collect()
+    for c, name in ((2, "one"), (3, "two")):
+        assert {r.src_pos: (r.rank, round(r.ndcg3, 9), round(r.ndcg5, 9)) for r in got if r.setting == name} == brute_ranks([(r[0], r[1], r[c]) for r in rows], sets)
+    assert ranking.per_source_of(table, known.limit(0), ["one"]).count() == 0
+
+
+def test_stress_in_one_product(spark, fields):
+    """The flagship's settings as columns give what one run for each setting gives."""
+    src, tgt, pair_table = fields
+    known = pairs.truth(pair_table, src, tgt)
+    once = {r.setting: r for r in stress.stress(src, tgt, known, matchers.overlap_matcher).collect()}
+    assert once == {r.setting: r for r in stress.stress(src, tgt, known, lambda a, b: matchers.overlap_matcher(a, b)).collect()}
+    assert once.keys() == stress.SETTINGS.keys()
+
+
+def test_products_in_blocks(spark):
+    a, b = spark.range(23).selectExpr("id as pos"), spark.range(17).selectExpr("id as pos")
+    for limit in (100, 17, 5, 1):
+        assert sorted(map(tuple, pairs.all_pairs(a, b, limit).collect())) == sorted(itertools.product(range(23), range(17)))
+
+
+def test_common_terms_in_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    a = spark.createDataFrame([(i, t) for i in range(40) for t in rng.sample("abcdefgh", 3) + ["the"]], "a long, t string")
+    b = spark.createDataFrame([(i, t) for i in range(50) for t in rng.sample("abcdefgh", 2) + ["the"]], "b long, t string")
+    want = sorted(map(tuple, a.join(b, "t").select("a", "b", "t").collect()))
+    monkeypatch.setattr(lexical, "POSTINGS", 7)
+    assert sorted(map(tuple, lexical.join_terms(a, b, ["t"], "a", "b", 50).select("a", "b", "t").collect())) == want
+
+
+def test_assignment_by_parts(spark):
+    """With a threshold each connected part is solved alone; the total is that of one problem over all pairs."""
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((14, 11)) < 0.25, rng.integers(1, 30, (14, 11)) / 30, 0.0)
+    tau = 0.3
+    got = {r.src_pos: r.tgt_pos for r in assignment.assign(scores(spark, m.tolist()), tau).collect()}
+    used = [j for j in got.values() if j >= 0]
+    assert got.keys() == set(range(14)) and len(used) == len(set(used)) and all(m[i, j] >= tau for i, j in got.items() if j >= 0)
+    wide = np.concatenate([m, np.full((14, 14), tau)], 1)
+    best = wide[np.arange(14), assignment.solve(-wide)].sum()
+    assert sum(m[i, j] if j >= 0 else tau for i, j in got.items()) == pytest.approx(best)
+    with pytest.raises(ValueError, match="more than one task"):
+        assignment.assign(scores(spark, m.tolist()), tau, most_pairs=3)
+
+
+def test_positions_in_ranges(spark, monkeypatch):
+    rng = random.Random(3)
+    order = rng.sample(range(10_000), 900)
+    df = spark.createDataFrame([(k, f"f{k}") for k in order], "first_line long, field_id string")
+    monkeypatch.setattr(catalog, "NUMBERED_AT_ONCE", 100)
+    got = {r.field_id: r.pos for r in catalog.positions(df).collect()}
+    assert got == {f"f{k}": i for i, k in enumerate(sorted(order))}
+
+
+def test_header_cells():
+    assert catalog.header_cells("\ufeffName,\"a, b\", Type ") == ["name", "a, b", "type"]
+
+
+def test_encoders_by_name(spark, fields, monkeypatch):
+    src, tgt, _ = fields
+    with pytest.raises(NotImplementedError, match="register_encoder"):
+        matchers.score("E5", src, tgt)
+    with pytest.raises(ValueError, match="unknown encoder"):
+        matchers.register_encoder("other", len)
+    monkeypatch.setattr(matchers, "MATCHERS", dict(matchers.MATCHERS))
+    rows = [(r.pos, r.text) for c, role in ((src, "query"), (tgt, "passage")) for r in matchers.encoder_text(c, "e5", role).orderBy("pos").collect()]
+    assert rows[0] == (0, "query: name source ip type string path event src ip") and rows[3][1].startswith("passage: name source address type string")
+    assert matchers.encoder_text(src, "mdv", "query").orderBy("pos").first().text.startswith("[NAME] Source IP [TYPE]")
+
+    def encode(texts):
+        import numpy as np
+
+        return np.array([[len(t), t.count("e") + 1.0] for t in texts])
+
+    matchers.register_encoder("e5", encode)
+    got = {(r.src_pos, r.tgt_pos): r.score for r in matchers.score("e5", src, tgt).collect()}
+    v = encode([t for _, t in rows])
+    for (i, j), s in got.items():
+        assert s == pytest.approx(v[i] @ v[3 + j] / np.linalg.norm(v[i]) / np.linalg.norm(v[3 + j]))
+    assert len(got) == 9
+
+
+def test_component_cosines_and_library_score(spark, fields):
+    src, tgt, _ = fields
+    src = src.withColumn("type", F.when(F.col("pos") == 1, "").otherwise(F.col("type")))
+    embed = lambda df, role: df.withColumn("embedding", matchers.md5_embedding(F.col("text")))
+    parts = {(r.src_pos, r.tgt_pos): r for r in matchers.component_cosines(src, tgt, embed).collect()}
+    vectors = {r.t: np.array(r.e) for r in spark.createDataFrame([(x,) for row in A + B for x in row[1:]], "t string").distinct().select("t", matchers.md5_embedding(F.col("t")).alias("e")).collect()}
+    for (i, j), r in parts.items():
+        for k, name in ((1, "name_score"), (2, "type_score"), (3, "path_score")):
+            want = 0.0 if i == 1 and k == 2 else float(vectors[A[i][k]] @ vectors[B[j][k]])
+            assert getattr(r, name) == pytest.approx(want, abs=1e-9)
+    texts = lambda rows: [X_plain(" ".join((n, "" if i == 1 and rows is A else t, p))) for i, (_, n, t, p) in enumerate(rows)]
+
+    def X_plain(t):
+        return spark.range(1).select(X.plain_tokens(F.lit(t)).alias("t")).first().t
+
+    lex = brute_bm25(texts(A), texts(B))
+    top = max(map(max, lex))
+    for r in matchers.integrated_library(src, tgt, embed).collect():
+        p = parts[r.src_pos, r.tgt_pos]
+        assert r.score == pytest.approx(p.name_score + 0.3 * p.type_score + p.path_score + 0.1 * lex[r.src_pos][r.tgt_pos] / top)
+
+
+def test_run_modes(spark, tmp_path, fields):
+    files = [write(tmp_path / f"{n}.jsonl", [dict(zip(("field_id", "name", "type", "path"), r)) for r in rows]) for n, rows in (("a", A), ("b", B))]
+    every = write(tmp_path / "p.jsonl", [{"source": s, "target": t} for s, t in PAIRS])
+    calib = write(tmp_path / "q.jsonl", [{"source": s, "target": t} for s, t in PAIRS[:2]] + [{"source": "action", "target": "security_action", "label": 0}])
+    out = evaluation.run(spark, *files, every, "single", "overlap", pairs_calib=calib, calibrate=True, n_boot=30)
+    assert out["n_eval"] == 3 and "ece_after" in out and 0 <= out["hit@1_ci"][0] <= out["hit@1_ci"][1] <= 1
+    assert evaluation.run(spark, *files, every, "latency3", "overlap").keys() == {"embed_sec", "score_rank_sec", "calibration_sec", "total_sec", "ms_per_source"}
+    table = evaluation.run(spark, *files, every, "table3", weights=(1.0, 0.0, 0.0))
+    assert {k: v for k, v in table["weighted"].items() if k != "setting"} == {k: v for k, v in table["name"].items() if k != "setting"}
+    assert evaluation.run(spark, *files, every, "table4", "overlap", pairs_calib=calib)["ece_before"] >= 0
