@@ -1,51 +1,3 @@
-"""Connected components of an edge table, by minimum labels and contraction, all in DataFrames."""
+"""Connected components, which the core has."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import forget, saved
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b), both long; component is the smallest node reachable.
-
-    Each round every node points to its smallest neighbour, pointers are doubled until all reach a root, and the
-    edges are contracted to roots. Minima are summed on the map side, so a node with very many edges is no hot key.
-    Nodes without an edge have no row. Null ends are left out.
-    """
-    left = saved(edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
-    mapping = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")), "up")
-        while True:
-            top = up.select(F.col("node").alias("n2"), F.col("up").alias("u2"))
-            step = saved(up.join(top, up.up == top.n2).select("node", F.col("u2").alias("up"), (F.col("u2") != F.col("up")).alias("moved")), "up")
-            forget(up)
-            up = step
-            if up.where("moved").isEmpty():
-                break
-        roots = up.select(F.col("node").alias("n2"), F.col("up").alias("u2"))
-        if mapping is None:
-            mapping_now = saved(up.select("node", F.col("up").alias("component")), "map")
-        else:
-            mapping_now = saved(mapping.join(roots, mapping.component == roots.n2, "left").select("node", F.coalesce("u2", "component").alias("component")), "map")
-            forget(mapping)
-        mapping = mapping_now
-        at_a = left.join(roots, left.a == roots.n2).select(F.col("u2").alias("a"), "b")
-        roots_b = up.select(F.col("node").alias("n3"), F.col("up").alias("u3"))
-        at_b = at_a.join(roots_b, at_a.b == roots_b.n3).select("a", F.col("u3").alias("b"))
-        now = saved(at_b.where("a <> b").distinct(), "edges")
-        forget(left)
-        forget(up)
-        left = now
-    else:
-        raise RuntimeError(f"edges remain after {max_rounds} rounds")
-    forget(left)
-    if mapping is None:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
-    return mapping
+from ..operators.components import components  # noqa: F401
