@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import shared_dir
+from ..shared import again, forget, saved, shared_dir  # noqa: F401  for the operators
 from ..shipping import ship
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Rows that a row function sees at once; texts may be long, so batches are cut further than Arrow's.
-ROWS_AT_ONCE = 256
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
-
-
-def again(df: DataFrame) -> DataFrame:
-    """Another read of a table made by saved(): the two sides of a cogroup need distinct ones."""
-    return df.sparkSession.read.schema(df.schema).parquet(df.saved_path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by saved() that no plan will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows, and bytes of their texts, that a row function sees at once; texts may be long, so batches are cut further than Arrow's.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 2 << 20
 
 
 #: At most so many keys are hot, whatever the table: those that hold more than one row in so many.
@@ -65,16 +43,31 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE bytes of text; a longer text is alone."""
+    import numpy as np
+
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(c), 0), dtype=np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + ROWS_AT_ONCE, int(np.searchsorted(ends, before + BYTES_AT_ONCE, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[list[tuple]], Iterator[tuple]]) -> DataFrame:
-    """Run rows() over lists of at most ROWS_AT_ONCE input tuples; it yields output tuples of the schema."""
+    """Run rows() over lists of input tuples, as slices() cuts them; it yields output tuples of the schema."""
     ship(df.sparkSession)
     fields = T._parse_datatype_string(schema)
     target = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in slices(batch):
                 out = list(rows(list(zip(*(c.to_pylist() for c in part.columns)))))
                 columns = list(zip(*out)) if out else [()] * len(target)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
