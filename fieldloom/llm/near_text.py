@@ -83,7 +83,7 @@ def set_rows(words_per_shingle: int):
 
     def rows(batch: list[tuple]) -> Iterator[tuple]:
         for t, text in batch:
-            yield t, np.unique(shingle_hashes(text, words_per_shingle).view(np.int64)).tolist()
+            yield t, np.unique(shingle_hashes(text, words_per_shingle).view(np.int64))
 
     return rows
 
