@@ -264,17 +264,19 @@ def stream_rows(batch: list[tuple]) -> Iterator[tuple]:
 
     Only blocks that structure does not keep have suffixes here; article tells the pages of different articles.
     """
+    import numpy as np
+
+    none = np.zeros(0, dtype=np.int64)
     for u, v, host, page in batch:
         blocks, stays = settled(page)
         lanes = {k: names(plain(t)) for k, ((_, t, _), stay) in enumerate(zip(blocks, stays)) if not stay}
         body = [k for k, stay in enumerate(stays) if stay is not False]
         longest = max(body, key=lambda k: len(blocks[k][1]), default=None)
         article = 0 if longest is None else int((lanes.get(longest) or names(plain(blocks[longest][1])))[0].min())
-        out: list[list[int]] = [[], [], [], []]
-        for k, (a, b) in lanes.items():
-            for column, values in zip(out, ([k] * len(a), range(len(a)), a.tolist(), b.tolist())):
-                column.extend(values)
-        yield u, v, host, article, None in stays, *out
+        sizes = [len(a) for a, _ in lanes.values()]
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else none
+        a, b = (np.concatenate([x[i] for x in lanes.values()]) if sizes else none for i in (0, 1))
+        yield u, v, host, article, None in stays, np.repeat(np.array(list(lanes), dtype=np.int32), sizes), places, a, b
 
 
 def without(text: str, places: list[int]) -> str:
