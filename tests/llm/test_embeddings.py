@@ -33,17 +33,21 @@ def as_dict(df):
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in df.collect()}
 
 
-@pytest.mark.parametrize("cell, tile", [(1000, 1500), (20, 7)])
-def test_all_links(spark, sf, monkeypatch, cell, tile):
+@pytest.mark.parametrize("cell, tile, guests", [(2000, 1500, 4096), (20, 7, 11), (12, 30, 9)])
+def test_all_links(spark, sf, monkeypatch, cell, tile, guests):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    monkeypatch.setattr(embedding_dedup, "SAMPLED", 3)
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "GUESTS", guests)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert as_dict(QUERIES["op8_embedding_dedup"](spark, sf)) == brute(rows)
 
 
 def test_clusters_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", 15)
+    monkeypatch.setattr(embedding_dedup, "SAMPLED", 3)
     monkeypatch.setattr(embedding_dedup, "TILE", 10)
+    monkeypatch.setattr(embedding_dedup, "GUESTS", 16)
     rng = np.random.default_rng(1)
     rows = []
     for i in range(260):
