@@ -59,7 +59,6 @@ def first_fit_decreasing(lengths: list[int], room: int) -> tuple[list[int], list
     return bins, offsets
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The `tokenizers` library's own reading of the file."""
     import os
@@ -78,12 +77,13 @@ def byte_of_letter() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
+def encoder(path: str, pattern: str, added_as_text: bool = False):
     """A function from a text to its ids as a uint32 array, equal to what tokenizer(path) gives.
 
     Where each merge makes a larger id than the one before, ids are ranks, and tiktoken encodes the same vocabulary
     several times as fast. Any other vocabulary is left to the `tokenizers` library. The string of an added token in a
-    text is that token, as the library reads it; add_special_tokens=False only leaves out what a template adds.
+    text is that token, as the library reads it by default (add_special_tokens=False only leaves out what a template
+    adds); added_as_text makes it ordinary text, which the library calls encode_special_tokens.
     """
     import json
     import re
@@ -104,18 +104,19 @@ def encoder(path: str, pattern: str):
 
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
         library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        found = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        found = re.compile("|".join(map(re.escape, special))).search if special and not added_as_text else lambda text: None
         encode = lambda text: library.encode(text, allowed_special="all") if found(text) else library.encode_ordinary(text)
         return lambda text: np.asarray(encode(text), dtype="<u4")
     library = tokenizer(path)
+    library.encode_special_tokens = added_as_text
     return lambda text: np.asarray(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-def cut(docs: DataFrame, path: str, pattern: str, room: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+def cut(docs: DataFrame, path: str, pattern: str, room: int, end_id: int, id_col: str, text_col: str, with_ids: bool, added_as_text: bool) -> DataFrame:
     def rows(batch: list[tuple]) -> Iterator[tuple]:
         import numpy as np
 
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, added_as_text)
         for key, text in batch:
             ids = np.append(encode(text), np.uint32(end_id))
             for start in range(0, len(ids), room):
@@ -126,16 +127,16 @@ def cut(docs: DataFrame, path: str, pattern: str, room: int, end_id: int, id_col
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), schema, rows)
 
 
-def pack(docs: DataFrame, path: str, pattern: str, room: int = 2048, end_id: int = 1, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, room: int = 2048, end_id: int = 1, group_pieces: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, added_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, [ids], sequence_id, offset.
 
     Every document ends with end_id, so a null or empty text is one piece of one token. A null doc_id packs like any
     other. Repeated rows are packed each for itself. An empty table gives an empty table; only the two columns named
-    are read. Sequences are padded to `room`, unless their length is a power of two.
+    are read. added_as_text is the encoder's. Sequences are padded to `room`, unless their length is a power of two.
     """
     import pandas as pd
 
-    pieces = saved(cut(docs, path, pattern, room, end_id, id_col, text_col, with_ids).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    pieces = saved(cut(docs, path, pattern, room, end_id, id_col, text_col, with_ids, added_as_text).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     groups = rows_per(docs.sparkSession, pieces.count(), group_pieces)
     names = [c for c in pieces.columns if c != "deal"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "deal") + ", sequence_id long, offset long"

@@ -144,4 +144,7 @@ def test_added_tokens_are_the_librarys(spark, tmp_path):
         lib, encode = tokenizers.Tokenizer.from_file(file), packing.encoder(file, pattern)
         for t in texts:
             assert encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+        lib.encode_special_tokens = True
+        for t in texts:
+            assert packing.encoder(file, pattern, added_as_text=True)(t).tolist() == lib.encode(t, add_special_tokens=False).ids
     assert packing.encoder(path, pattern)(texts[0]).tolist() == [64, 220, 50256, 275]
