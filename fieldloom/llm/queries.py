@@ -102,5 +102,51 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
+""",
+    "op3_html_extraction": r"""
+WITH inside AS (
+  SELECT page_id, url, regexp_split_to_array(replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '<br>', ' '), '</?(?:p|h1)>') AS parts FROM pages
+), plain AS (
+  SELECT page_id, url, list_transform(list_transform(parts, lambda x: regexp_replace(x, '<[^>]+>', '', 'g')),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM inside
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM plain
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+""",
+    "op5_quality_rules": r"""
+WITH parsed AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM parsed WHERE len(w) > 2)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r
+), c AS (
+  SELECT p.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, len(lines) AS n_lines
+  FROM parsed p LEFT JOIN covered ON covered.r = p.r
+), d AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (n_words >= 50)::INT + (n_words >= 200)::INT + (n_words >= 800)::INT AS s FROM c
+), ratios AS (
+  SELECT r, doc_id, s, base_failed, unnest([1, 2, 3, 4, 5]) AS rule, unnest([
+    CASE WHEN word_chars > 0 THEN least(n_symbols::DOUBLE / word_chars, 1) ELSE 0 END, CASE WHEN word_chars > 0 THEN least(n_upper::DOUBLE / word_chars, 1) ELSE 0 END,
+    CASE WHEN n_words > 0 THEN least(n_repeat_words::DOUBLE / n_words, 1) ELSE 0 END, CASE WHEN n_lines > 0 THEN least(n_dup_lines::DOUBLE / n_lines, 1) ELSE 0 END,
+    CASE WHEN n_words > 0 THEN least(n_symbols::DOUBLE / n_words, 1) ELSE 0 END]::DOUBLE[]) AS ratio FROM d
+), good AS (
+  SELECT s, rule, ratio FROM ratios WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+), cuts AS (
+  SELECT s, rule, cut, count(*) AS n, count(*) FILTER (ceil(ratio * 64) > cut) AS k FROM good CROSS JOIN (SELECT unnest(range(64)) AS cut) GROUP BY ALL
+), bounds AS (
+  -- the chance of k or fewer rejections if one in a hundred were rejected, at most the level over strata and rules
+  SELECT s, rule, min(cut) AS cut FROM cuts
+  WHERE k < n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE)))) <= 0.05::DOUBLE / 20 GROUP BY s, rule
+), rejected AS (
+  SELECT DISTINCT r FROM ratios JOIN bounds ON bounds.s = ratios.s AND bounds.rule = ratios.rule WHERE ratio > cut / 64.0::DOUBLE
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept FROM d
 """,
 }

@@ -80,7 +80,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6, id_col:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) for every row of docs, by the law `rows`.
 
     Numbers of rows of any two shards are at most one apart; slots are gapless from 0 in each shard. Size is the
-    text's UTF-8 bytes plus 8. Null texts link with nothing; empty texts are equal texts. Null ids and repeated rows
+    text's UTF-8 bytes plus 8. Where two shards hold as many of a group, a hash of both decides. Null texts link with nothing; empty texts are equal texts. Null ids and repeated rows
     are placed like others. grown_shard belongs to the law `key` and is null. Only the two columns named are read; an
     empty table gives an empty table.
     """
