@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, no_tokens
-from ..shared import saved
+from ..shared import again, saved
+from ..shipping import ship
+from .ranking import top_k
 
 
 #: Postings of a term that one task takes of either side, about.
@@ -73,8 +77,8 @@ def tfidf_weights(terms: DataFrame, max_df: float) -> DataFrame:
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc"))))
 
 
-def tfidf_cosine(corpus: DataFrame, tokens: Column, text: Column) -> DataFrame:
-    """(a, b, score) for source texts a and target texts b of corpus(doc, text, is_source) that share a term.
+def tfidf_units(corpus: DataFrame, tokens: Column, text: Column) -> DataFrame:
+    """(doc, is_source, block, term, w): the unit vectors of corpus(doc, text, is_source).
 
     The features of a text are a character block and a word block of unit length each, side by side. The corpus
     should hold each distinct text once for each time it counts: `doc` tells them apart.
@@ -86,13 +90,65 @@ def tfidf_cosine(corpus: DataFrame, tokens: Column, text: Column) -> DataFrame:
         weights = w if weights is None else weights.union(w)
     side = corpus.select("doc", "is_source")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    # both sides of the join read it
-    unit = saved(weights.select("doc", "block", "term", (F.col("w") / length).alias("w")).join(side, "doc"), "weights")
+    # both sides of a product read it
+    return saved(weights.select("doc", "block", "term", (F.col("w") / length).alias("w")).join(side, "doc"), "weights")
+
+
+def tfidf_cosine(corpus: DataFrame, tokens: Column, text: Column) -> DataFrame:
+    """(a, b, score) for source texts a and target texts b of corpus(doc, text, is_source) that share a term."""
+    unit = tfidf_units(corpus, tokens, text)
     a = unit.where("is_source").select(F.col("doc").alias("a"), "block", "term", F.col("w").alias("wa"))
     b = unit.where("not is_source").select(F.col("doc").alias("b"), "block", "term", F.col("w").alias("wb"))
     return join_terms(a, b, ["block", "term"], "a", "b", corpus.count()).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
+def tfidf_top_k(corpus: DataFrame, tokens: Column, text: Column, k: int, digits: int = 6, tile: int = 2000, terms: int = 4096) -> DataFrame:
+    """(src_pos, tgt_pos, score, rank): the k target texts with the largest rounded cosine of each source text.
+
+    Where only the best are wanted, common terms need not make a row for each pair: both sides are dealt into tiles of
+    about `tile` texts, a pair of tiles is a product of two matrices, some thousand shared terms at a time, and k rows
+    of a source leave it. Pairs without a shared term are left out; ties go to the smaller id.
+    """
+    ship(corpus.sparkSession)
+    unit = tfidf_units(corpus, tokens, text)
+    vectors = unit.groupBy("doc", "is_source").agg(F.collect_list(F.xxhash64("block", "term")).alias("t"), F.collect_list("w").alias("w"))
+    vectors = saved(vectors, "vectors")
+    sizes = {r.is_source: max(1, -(-r["count"] // tile)) for r in vectors.groupBy("is_source").count().collect()}
+    n_s, n_t = sizes.get(True, 1), sizes.get(False, 1)
+
+    def flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["t"]]), np.concatenate(list(pdf["t"])), np.concatenate(list(pdf["w"]))
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"src_pos": pd.Series(dtype=object), "tgt_pos": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
+        if not len(a) or not len(b):
+            return none
+        b = b.sort_values("doc")
+        (row_a, term_a, w_a), (row_b, term_b, w_b) = flat(a), flat(b)
+        shared = np.intersect1d(term_a, term_b)
+        scores = np.zeros((len(a), len(b)))
+        for low in range(0, len(shared), terms):
+            some = shared[low : low + terms]
+            x, y = np.zeros((len(a), len(some))), np.zeros((len(b), len(some)))
+            for m, row, term, w in ((x, row_a, term_a, w_a), (y, row_b, term_b, w_b)):
+                at = np.minimum(np.searchsorted(some, term), len(some) - 1)
+                here = some[at] == term
+                m[row[here], at[here]] = w[here]
+            scores += x @ y.T
+        scores = np.where(scores > 0, np.round(scores, digits), -np.inf)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        got = np.take_along_axis(scores, order, 1)
+        fine = np.isfinite(got)
+        names = np.repeat(a["doc"].to_numpy(), order.shape[1]).reshape(order.shape)
+        return pd.DataFrame({"src_pos": names[fine], "tgt_pos": b["doc"].to_numpy()[order][fine], "score": got[fine]})
+
+    deal = lambda df, mine, n, other, m: df.select("doc", "t", "w", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    left = deal(vectors.where("is_source"), "i", n_s, "j", n_t)
+    right = deal(again(vectors).where("not is_source"), "j", n_t, "i", n_s)
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(product, "src_pos string, tgt_pos string, score double")
+    return top_k(found, k)
+
+
 def jaccard_by_index(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """(a, b, score) of token sets from src(a, tokens), tgt(b, tokens), for the pairs that share a token."""
     one = lambda df, key: df.select(key, F.size(F.array_distinct("tokens")).alias(f"n_{key}"), F.explode(F.array_distinct("tokens")).alias("token"))

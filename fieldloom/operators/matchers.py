@@ -20,7 +20,7 @@ from ..functions import vocabulary as V
 from ..shared import saved
 from ..shipping import ship
 from . import lexical, ranking
-from .pairs import all_pairs, by_distinct
+from .pairs import all_pairs, by_distinct, prefixed, small
 
 Matcher = Callable[[DataFrame, DataFrame], DataFrame]
 MATCHERS: dict[str, Matcher] = {}
@@ -205,12 +205,15 @@ def same_types(s: DataFrame, t: DataFrame) -> DataFrame:
     return both.where("a <> ''").withColumn("score", F.lit(1.0))
 
 
+def tfidf_corpus(s: DataFrame, t: DataFrame) -> DataFrame:
+    """(doc, text, is_source) of both catalogs: statistics count every record."""
+    side = lambda df, tag: df.select(F.concat(F.lit(tag), F.col("pos").cast("string")).alias("doc"), F.col("full").alias("text"), F.lit(tag == "s").alias("is_source"))
+    return side(s, "s").union(side(t, "t"))
+
+
 def tfidf_part(s: DataFrame, t: DataFrame, rich: bool) -> DataFrame:
-    """Cosine of distinct texts; statistics count every record."""
-    corpus = s.select(F.concat(F.lit("s"), F.col("pos").cast("string")).alias("doc"), F.col("full").alias("text"), F.lit(True).alias("is_source")).union(
-        t.select(F.concat(F.lit("t"), F.col("pos").cast("string")).alias("doc"), F.col("full").alias("text"), F.lit(False).alias("is_source"))
-    )
-    return lexical.tfidf_cosine(corpus, X.tokens("text", rich), F.col("text"))
+    """Cosines of the texts of both catalogs."""
+    return lexical.tfidf_cosine(tfidf_corpus(s, t), X.tokens("text", rich), F.col("text"))
 
 
 def tfidf_ensemble(src: DataFrame, tgt: DataFrame, rich: bool = True) -> DataFrame:
@@ -359,10 +362,14 @@ def integrated(name: Column, type_: Column, path: Column, lex: Column, alpha: fl
 
 
 def constrained(base: DataFrame, src: DataFrame, tgt: DataFrame, alpha: float = 1.0, beta: float = 0.3, gamma: float = 0.2, delta: float = 0.1) -> DataFrame:
-    """base(src_pos, tgt_pos, score) as the cosine, with the type, path and name constraints of its pairs."""
+    """base(src_pos, tgt_pos, score) as the cosine, with the type, path and name constraints of its pairs.
+
+    Features meet the pairs by source and by target, so where base lies together by source it is not shuffled, unless
+    targets or name pairs are too many to broadcast.
+    """
     bare = lambda df: df.select("pos", X.type_base("type").alias("tbase"), X.path_tokens("path").alias("ptok"), S.bare_name("name").alias("bname"))
     s, t = bare(src), bare(tgt)
-    out = all_pairs(s, t).join(base, ["src_pos", "tgt_pos"])
+    out = base.join(prefixed(s, "src_").hint("shuffle_hash"), "src_pos").join(small(prefixed(t, "tgt_"), t.count()), "tgt_pos")
     out = by_distinct(out, s, t, "bname", S.name_ratio, "_lex")
     return out.select(
         "src_pos",

@@ -18,6 +18,11 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a hint to broadcast it, if its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def product(a: DataFrame, b: DataFrame, key_a: str, key_b: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every row of a with every row of b; no column name is in both.
 
@@ -45,6 +50,7 @@ def by_distinct(pairs: DataFrame, src: DataFrame, tgt: DataFrame, key: str, scor
     a = src.select(F.col(key).alias("a")).distinct()
     b = tgt.select(F.col(key).alias("b")).distinct()
     table = product(a, b, "a", "b").withColumn(name, score(F.col("a"), F.col("b")))
+    table = small(table, a.count() * b.count())
     return pairs.join(table, pairs[f"src_{key}"].eqNullSafe(table.a) & pairs[f"tgt_{key}"].eqNullSafe(table.b)).drop("a", "b")
 
 

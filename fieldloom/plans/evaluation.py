@@ -103,6 +103,18 @@ def calibration_table(scores: DataFrame, pair_table: DataFrame, src: DataFrame,
     return before.crossJoin(after).withColumn("improvement", F.round(F.when(F.col("ece_before") > 0, (F.col("ece_before") - F.col("ece_after")) / F.col("ece_before")).otherwise(0.0), 6))
 
 
+def calibrated_matches(src: DataFrame, tgt: DataFrame, calib_pairs: DataFrame, matcher: str = "overlap") -> DataFrame:
+    """(src_pos, tgt_pos, conf, fitted): each source's best target, its score, and the chance that it is right.
+
+    The chance is an isotonic fit of the truth on the largest scores of the sources that calib_pairs names.
+    """
+    scores = matchers.score(matcher, src, tgt)
+    known = pairs.truth(calib_pairs, src, tgt)
+    named = scores.join(known.select("src_pos").distinct(), "src_pos", "left_semi")
+    model = calibration.fit_isotonic(ranking.top1(named, known, "score"))
+    return calibration.predict(model, ranking.top1(scores, known, "score")).select("src_pos", "tgt_pos", "conf", "fitted")
+
+
 def latency(src: DataFrame, tgt: DataFrame, matcher: str = "overlap") -> dict[str, float]:
     """Seconds of serialisation, scoring, ranking and softmax, each materialised by a sink that keeps nothing."""
     from ..functions import text as X

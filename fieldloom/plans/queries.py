@@ -427,8 +427,8 @@ SELECT src_pos, tgt_pos, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 def tfidf(spark, sf_dir):
     """Character and word TF-IDF of plain tokens, sources against targets."""
     s, t = (matchers.sparse_catalog(c(spark, sf_dir), rich=False) for c in (catalog.part_sources, catalog.part_targets))
-    out = matchers.tfidf_part(s, t, rich=False).select(F.col("a").alias("src_pos"), F.col("b").alias("tgt_pos"), "score")
-    return top3(out)
+    best = lexical.tfidf_top_k(matchers.tfidf_corpus(s, t), X.tokens("text", False), F.col("text"), 3)
+    return best.select("src_pos", "tgt_pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -498,7 +498,7 @@ def lexical_bonus(spark, sf_dir):
     """Character ratio of every two distinct names."""
     ship(spark)
     names = table(spark, sf_dir, "part").select(S.bare_name("p_name").alias("a")).distinct()
-    return names.crossJoin(names.select(F.col("a").alias("b"))).select("a", "b", F.round(S.name_ratio("a", "b"), 6).alias("ratio"))
+    return pairs.product(names, names.select(F.col("a").alias("b")), "a", "b").select("a", "b", F.round(S.name_ratio("a", "b"), 6).alias("ratio"))
 
 
 @query(

@@ -524,3 +524,39 @@ def test_run_modes(spark, tmp_path, fields):
     table = evaluation.run(spark, *files, every, "table3", weights=(1.0, 0.0, 0.0))
     assert {k: v for k, v in table["weighted"].items() if k != "setting"} == {k: v for k, v in table["name"].items() if k != "setting"}
     assert evaluation.run(spark, *files, every, "table4", "overlap", pairs_calib=calib)["ece_before"] >= 0
+
+
+@pytest.mark.parametrize("tile, terms", [(2000, 4096), (2, 7)])
+def test_tfidf_top_k_by_tiles(spark, fields, tile, terms):
+    s, t = (matchers.sparse_catalog(c) for c in fields[:2])
+    corpus = matchers.tfidf_corpus(s, t)
+    every = lexical.tfidf_cosine(corpus, X.tokens("text"), F.col("text")).select(F.col("a").alias("src_pos"), F.col("b").alias("tgt_pos"), F.round("score", 6).alias("score"))
+    want = sorted((r.src_pos, r["rank"], r.tgt_pos, r.score) for r in ranking.top_k(every, 2).collect())
+    got = lexical.tfidf_top_k(corpus, X.tokens("text"), F.col("text"), 2, tile=tile, terms=terms)
+    assert [(a, k, b) for a, k, b, _ in want] == [(a, k, b) for a, k, b, _ in sorted((r.src_pos, r["rank"], r.tgt_pos, r.score) for r in got.collect())]
+    assert [x[3] for x in want] == pytest.approx([x for *_, x in sorted((r.src_pos, r["rank"], r.tgt_pos, r.score) for r in got.collect())], abs=2e-6)
+
+
+def test_matcher_from_outside(spark, fields, monkeypatch):
+    """A matcher that another module registers is called by name, in the sweep too, and may fail without stopping it."""
+    src, tgt, table = fields
+    monkeypatch.setattr(matchers, "MATCHERS", dict(matchers.MATCHERS))
+    matchers.register_matcher("Equal_Place", lambda a, b: pairs.all_pairs(a, b).select("src_pos", "tgt_pos", (F.col("src_pos") == F.col("tgt_pos")).cast("double").alias("score")))
+    out = evaluation.sweep(src, tgt, table, ["equal_place", "mdv"])
+    assert out["equal_place"]["hit_at_1"] == 1.0 and "no model" in out["mdv"]["error"]
+    with pytest.raises(ValueError, match="unknown matcher"):
+        matchers.score("none", src, tgt)
+
+
+def test_calibrated_matches(spark, fields):
+    src, tgt, table = fields
+    rows = evaluation.calibrated_matches(src, tgt, table.where("source <> 'action'")).orderBy("src_pos").collect()
+    assert [r.src_pos for r in rows] == [0, 1, 2] and all(0 <= r.fitted <= 1 for r in rows)
+    s = matchers.overlap_matcher(src, tgt)
+    best = {r.src_pos: (r.tgt_pos, r.score) for r in ranking.top_k(s, 1).collect()}
+    assert {r.src_pos: (r.tgt_pos, r.conf) for r in rows} == best
+    known = {i: float(j == best[i][0]) for i, j in ((0, 0), (1, 1))}
+    order = sorted(known, key=lambda i: best[i][1])
+    fit = [known[i] for i in order] if known[order[0]] <= known[order[1]] else [sum(known.values()) / 2] * 2
+    if best[0][1] != best[1][1]:
+        assert [r.fitted for i in order for r in rows if r.src_pos == i] == fit
