@@ -157,8 +157,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def contested(keyed: DataFrame) -> DataFrame:
     """Rows of keyed(band, t, c) whose band value several components share, with the number `members` of its texts."""
     values = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    values = saved(values.select("band", "n", F.col("n").alias("members")), "values")
-    return join_hot(keyed, values, ["band"], keyed.count())
+    # a written table, so that Spark can split what many texts share when it meets it
+    return keyed.join(saved(values.select("band", F.col("n").alias("members")), "values"), "band")
 
 
 def relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
