@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -23,18 +24,53 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
-def shared(a: Column, b: Column) -> Column:
-    """How many members two sets share."""
-    return F.size(F.array_intersect(a, b))
+class TokenSets:
+    """Token sets as a pair of records compares them quickest.
 
+    Over a vocabulary of at most MOST words, which is counted and brought to the driver, a set is its size and a bit for
+    each word, and what two sets share is counted in a few machine instructions. Over a larger one it is 64-bit hashes.
+    """
 
-def jaccard_of(both: Column, a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets that share `both` members; the sets hold each member once."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    MOST = 768
 
+    def __init__(self, words: list[str] | None):
+        self.words = words
 
-def overlap_of(both: Column, a: Column, b: Column) -> Column:
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.least(F.size(a), F.size(b)))
+    @classmethod
+    def over(cls, *sets: DataFrame) -> TokenSets:
+        """The sets of tables with one array column each."""
+        words = [r.w for r in reduce(DataFrame.union, [df.select(F.explode(df.columns[0]).alias("w")) for df in sets]).distinct().limit(cls.MOST + 1).collect()]
+        return cls(sorted(words) if len(words) <= cls.MOST else None)
+
+    def encode(self, tokens: Column) -> Column:
+        if self.words is None:
+            return X.hashed(tokens)
+        places = F.array_distinct(F.transform(tokens, lambda t: F.array_position(X.constant(self.words, "array<string>"), t).cast("int") - 1))
+
+        def word(w: int) -> Column:
+            bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)
+            return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: F.when(F.shiftright(i, 6) == w, acc.bitwiseOR(bit(i))).otherwise(acc))
+
+        words = [word(w) for w in range(-(-len(self.words) // 64))]
+        return F.struct(F.size(places).alias("n"), *[c.alias(f"w{w}") for w, c in enumerate(words)])
+
+    def size(self, a: Column) -> Column:
+        return F.size(a) if self.words is None else a["n"]
+
+    def shared(self, a: Column, b: Column) -> Column:
+        """How many members two sets share."""
+        if self.words is None:
+            return F.size(F.array_intersect(a, b))
+        return reduce(lambda x, y: x + y, [F.bit_count(a[f"w{w}"].bitwiseAND(b[f"w{w}"])) for w in range(-(-len(self.words) // 64))], F.lit(0))
+
+    def jaccard(self, a: Column, b: Column, both: Column | None = None) -> Column:
+        """Shared members over all; 0 if either set is empty. both is what they share, where it is known."""
+        both = self.shared(a, b) if both is None else both
+        return F.when((self.size(a) == 0) | (self.size(b) == 0), 0.0).otherwise(both / (self.size(a) + self.size(b) - both))
+
+    def overlap(self, a: Column, b: Column, both: Column | None = None) -> Column:
+        both = self.shared(a, b) if both is None else both
+        return F.when((self.size(a) == 0) | (self.size(b) == 0), 0.0).otherwise(both / F.least(self.size(a), self.size(b)))
 
 
 def cosine(a: Column, b: Column) -> Column:

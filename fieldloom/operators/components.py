@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..shared import forget, saved
 
+#: Pointers are written after so many doublings; those between are cached and made again if an executor is lost.
+WRITTEN_EVERY = 3
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b), both long; component is the smallest node reachable.
@@ -21,14 +24,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if left.isEmpty():
             break
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")), "up")
-        while True:
+        up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")).persist()
+        turn, moved = 0, 1
+        while moved:
+            turn += 1
             top = up.select(F.col("node").alias("n2"), F.col("up").alias("u2"))
-            step = saved(up.join(top, up.up == top.n2).select("node", F.col("u2").alias("up"), (F.col("u2") != F.col("up")).alias("moved")), "up")
-            forget(up)
+            step = up.join(top, up.up == top.n2).select("node", F.col("u2").alias("up"), (F.col("u2") != F.col("up")).alias("moved"))
+            step = saved(step, "up") if turn % WRITTEN_EVERY == 0 else step.persist()
+            moved = step.where("moved").count()
+            drop(up)
             up = step
-            if up.where("moved").isEmpty():
-                break
         roots = up.select(F.col("node").alias("n2"), F.col("up").alias("u2"))
         if mapping is None:
             mapping_now = saved(up.select("node", F.col("up").alias("component")), "map")
@@ -41,7 +46,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         at_b = at_a.join(roots_b, at_a.b == roots_b.n3).select("a", F.col("u3").alias("b"))
         now = saved(at_b.where("a <> b").distinct(), "edges")
         forget(left)
-        forget(up)
+        drop(up)
         left = now
     else:
         raise RuntimeError(f"edges remain after {max_rounds} rounds")
@@ -49,3 +54,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if mapping is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     return mapping
+
+
+def drop(df: DataFrame) -> None:
+    if hasattr(df, "saved_path"):
+        forget(df)
+    else:
+        df.unpersist()

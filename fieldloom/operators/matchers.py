@@ -88,11 +88,6 @@ def rule_features(catalog: DataFrame) -> DataFrame:
 PAIRED = ("pos", "name_norm", "ctype", "is_src", "is_dst")
 
 
-def paired_features(catalog: DataFrame) -> DataFrame:
-    """rule_features() cut to what a pair compares, with token sets as hashes."""
-    return rule_features(catalog).select(*PAIRED, X.hashed(F.col("name_tokens")).alias("names"), X.hashed(F.col("path_tokens")).alias("paths"))
-
-
 def side(feature: str) -> tuple[Column, Column]:
     return F.col(f"src_{feature}"), F.col(f"tgt_{feature}")
 
@@ -150,9 +145,9 @@ def heuristic_support(j: Column) -> Column:
     return base + F.when(base > 0, steps(j, (0.8, 0.010), (0.5, 0.004))).otherwise(0.0)
 
 
-def strong(j: Column) -> Column:
+def strong(j: Column, nj: Column, no: Column, po: Column) -> Column:
+    """j: Jaccard similarity of path tokens; nj, no: Jaccard and overlap of name tokens; po: overlap of path tokens."""
     exact, _, partial = name_signals()
-    nj, no, po = S.jaccard_of(F.col("_n"), *side("names")), S.overlap_of(F.col("_n"), *side("names")), S.overlap_of(F.col("_p"), *side("paths"))
     fit = S.type_compat_b(*side("ctype"))
     signal = exact | (nj >= 0.8) | partial
     # fixed values
@@ -165,18 +160,33 @@ def strong(j: Column) -> Column:
     return F.when(signal | ((fit >= 1.0) & (j >= 0.8)), F.greatest(total, F.lit(0.0))).otherwise(0.0)
 
 
-def rule_pairs(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """All pairs of rule features with _p, the number of path tokens they share, and _j, their Jaccard similarity."""
-    out = all_pairs(paired_features(src), paired_features(tgt)).withColumn("_p", S.shared(*side("paths")))
-    return out.withColumn("_j", S.jaccard_of(F.col("_p"), *side("paths")))
+def rule_pairs(src: DataFrame, tgt: DataFrame, names: bool = True) -> DataFrame:
+    """All pairs of rule features with _j, _po: Jaccard similarity and overlap of path tokens, and _nj, _no of name tokens."""
+    a, b = (saved(rule_features(c).select(*PAIRED, "name_tokens", "path_tokens"), "rules") for c in (src, tgt))
+    by_path = S.TokenSets.over(a.select("path_tokens"), b.select("path_tokens"))
+    by_name = S.TokenSets.over(a.select("name_tokens"), b.select("name_tokens")) if names else None
+
+    def encoded(c: DataFrame) -> DataFrame:
+        return c.select(*PAIRED, by_path.encode(F.col("path_tokens")).alias("paths"), *([by_name.encode(F.col("name_tokens")).alias("names")] if names else []))
+
+    out = all_pairs(encoded(a), encoded(b)).withColumn("_p", by_path.shared(*side("paths")))
+    out = out.withColumns({"_j": by_path.jaccard(*side("paths"), F.col("_p")), "_po": by_path.overlap(*side("paths"), F.col("_p"))})
+    if names:
+        out = out.withColumn("_n", by_name.shared(*side("names")))
+        out = out.withColumns({"_nj": by_name.jaccard(*side("names"), F.col("_n")), "_no": by_name.overlap(*side("names"), F.col("_n"))})
+    return out
+
+
+#: What strong() reads of rule_pairs().
+STRONG = ("_j", "_nj", "_no", "_po")
 
 
 def rule_heuristic(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    return scored(rule_pairs(src, tgt), heuristic(F.col("_j")))
+    return scored(rule_pairs(src, tgt, names=False), heuristic(F.col("_j")))
 
 
 def rule_enhanced(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    return scored(rule_pairs(src, tgt).withColumn("_n", S.shared(*side("names"))), 0.78 * strong(F.col("_j")) + 0.10 * heuristic_support(F.col("_j")))
+    return scored(rule_pairs(src, tgt), 0.78 * strong(*map(F.col, STRONG)) + 0.10 * heuristic_support(F.col("_j")))
 
 
 def rule_scores(src: DataFrame, tgt: DataFrame, mode: str = "enhanced") -> DataFrame:
@@ -378,17 +388,15 @@ def constrained(base: DataFrame, src: DataFrame, tgt: DataFrame, alpha: float =
     )
 
 
-def component_features(name: str, type: str, path: str) -> tuple[Column, Column, Column]:
-    """What components compare: plain tokens of the name and path tokens as hashes, and the type."""
-    return X.hashed(X.plain_tokens(name)).alias("names"), X.type_base(type).alias("tbase"), X.hashed(X.path_tokens(path)).alias("paths")
-
-
 def component_scores(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """All pairs with name_score, path_score (Jaccard of plain and of path tokens) and type_score (equal types)."""
-    make = lambda df: df.select("pos", *component_features("name", "type", "path"))
+    words = lambda df: df.select("pos", X.plain_tokens("name").alias("names"), X.path_tokens("path").alias("paths"), X.type_base("type").alias("tbase"))
+    s, t = words(src), words(tgt)
+    by = {c: S.TokenSets.over(s.select(c), t.select(c)) for c in ("names", "paths")}
+    encoded = lambda df: df.select("pos", "tbase", *[sets.encode(F.col(c)).alias(c) for c, sets in by.items()])
     a, b = side("tbase")
-    jaccard = lambda f: S.jaccard_of(S.shared(*side(f)), *side(f))
-    return all_pairs(make(src), make(tgt)).select("src_pos", "tgt_pos", jaccard("names").alias("name_score"), ((a == b) & (a != "")).cast("double").alias("type_score"), jaccard("paths").alias("path_score"))
+    score = {c: sets.jaccard(*side(c)) for c, sets in by.items()}
+    return all_pairs(encoded(s), encoded(t)).select("src_pos", "tgt_pos", score["names"].alias("name_score"), ((a == b) & (a != "")).cast("double").alias("type_score"), score["paths"].alias("path_score"))
 
 
 def component_cosines(src: DataFrame, tgt: DataFrame, embedder: Embedder) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from .matchers import Matcher, component_features, overlap_matcher, overlap_score
+from .matchers import Matcher, overlap_matcher, overlap_score
 from .pairs import all_pairs
 from .ranking import per_source, per_source_of, summary
 
@@ -36,14 +36,17 @@ def perturb_text(df: DataFrame, text: str = "text", path_drift: bool = False, ty
 
 def overlap_settings(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """The flagship matcher's scores under every setting as columns of one product: masked signals are 0, drift changes sources."""
-    names, types, paths = component_features("name", "type", "path")
-    drifted = src.withColumns({"_path": X.drift_path("path"), "_type": X.drift_type("type")})
-    a = drifted.select("pos", names, types, paths, X.hashed(X.path_tokens("_path")).alias("drift_paths"), X.type_base("_type").alias("drift_type"))
-    rows = all_pairs(a, tgt.select("pos", names, types, paths))
-    name, path = (S.jaccard_of(S.shared(F.col(f"src_{f}"), F.col(f"tgt_{f}")), F.col(f"src_{f}"), F.col(f"tgt_{f}")) for f in ("names", "paths"))
-    drift_path = S.jaccard_of(S.shared(F.col("src_drift_paths"), F.col("tgt_paths")), F.col("src_drift_paths"), F.col("tgt_paths"))
+    words = [X.plain_tokens("name").alias("names"), X.path_tokens("path").alias("paths")]
+    a = src.select("pos", *words, X.path_tokens(X.drift_path("path")).alias("drift_paths"), X.type_base("type").alias("tbase"), X.type_base(X.drift_type("type")).alias("drift_type"))
+    b = tgt.select("pos", *words, X.type_base("type").alias("tbase"))
+    names = S.TokenSets.over(a.select("names"), b.select("names"))
+    paths = S.TokenSets.over(a.select("paths"), a.select("drift_paths"), b.select("paths"))
+    sets = lambda df: [c for c in ("names", "paths", "drift_paths") if c in df.columns]
+    encoded = lambda df: df.withColumns({c: (names if c == "names" else paths).encode(F.col(c)) for c in sets(df)})
+    rows = all_pairs(encoded(a), encoded(b))
     same = lambda c: ((F.col(c) == F.col("tgt_tbase")) & (F.col(c) != "")).cast("double")
-    rows = rows.select("src_pos", "tgt_pos", name.alias("_n"), same("src_tbase").alias("_t"), path.alias("_p"), drift_path.alias("_dp"), same("src_drift_type").alias("_dt"))
+    c = F.col
+    rows = rows.select("src_pos", "tgt_pos", names.jaccard(c("src_names"), c("tgt_names")).alias("_n"), same("src_tbase").alias("_t"), paths.jaccard(c("src_paths"), c("tgt_paths")).alias("_p"), paths.jaccard(c("src_drift_paths"), c("tgt_paths")).alias("_dp"), same("src_drift_type").alias("_dt"))
     n, t, p, none = F.col("_n"), F.col("_t"), F.col("_p"), F.lit(0.0)
     signals = {"Original": (n, t, p), "MaskName": (none, t, p), "MaskType": (n, none, p), "MaskPath": (n, t, none), "PathDrift": (n, t, F.col("_dp")), "TypeDrift": (n, F.col("_dt"), p)}
     return rows.select("src_pos", "tgt_pos", *[overlap_score(*s).alias(name) for name, s in signals.items()])

@@ -212,13 +212,14 @@ round(st, 6) AS strong, round(hs2, 6) AS support, pol::INT::DOUBLE AS conflict F
 )
 def rule_parts(spark, sf_dir):
     """Both rules, their parts and the polarity conflict, of every pair of fields."""
-    rows = matchers.rule_pairs(*both(spark, sf_dir)).withColumn("_n", S.shared(*matchers.side("names")))
+    rows = matchers.rule_pairs(*both(spark, sf_dir))
+    strong = matchers.strong(*map(F.col, matchers.STRONG))
     j = F.col("_j")
     (a_src, b_src), (a_dst, b_dst) = matchers.side("is_src"), matchers.side("is_dst")
     conflict = ((a_src & b_dst) | (a_dst & b_src)).cast("double")
     six = lambda c: F.round(c, 6)
     return rows.select(
-        "src_pos", "tgt_pos", six(0.78 * matchers.strong(j) + 0.10 * matchers.heuristic_support(j)).alias("enhanced"), six(matchers.heuristic(j)).alias("weak"), six(matchers.strong(j)).alias("strong"), six(matchers.heuristic_support(j)).alias("support"), conflict.alias("conflict")
+        "src_pos", "tgt_pos", six(0.78 * strong + 0.10 * matchers.heuristic_support(j)).alias("enhanced"), six(matchers.heuristic(j)).alias("weak"), six(strong).alias("strong"), six(matchers.heuristic_support(j)).alias("support"), conflict.alias("conflict")
     )
 
 

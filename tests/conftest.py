@@ -14,7 +14,7 @@ SF = Path("/root/testdata/sf0.001")
 def spark():
     from fieldloom.session import local_session
 
-    session = local_session(cpus=4, shuffle_partitions=4, memory="4g")
+    session = local_session(cpus=8, shuffle_partitions=4, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

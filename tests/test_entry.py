@@ -9,7 +9,7 @@ import __spark_entry__
 from fieldloom.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
-SLOW = {"bm25_ensemble", "tfidf_ensemble", "calibration_table"}
+SLOW = {"bm25_ensemble", "tfidf_ensemble"}
 
 
 @pytest.fixture(scope="module")
