@@ -74,9 +74,7 @@ def links(nodes: DataFrame) -> DataFrame:
         "fp",
         F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("block")) for i, m in keys])).alias("k"),
     ).select("node", "fp", "k.which", "k.block")
-    keyed = saved(keyed, "keys")
-    # a written table, so that Spark can split a block that many fingerprints share when it meets it
-    counts = saved(keyed.groupBy("which", "block").agg(F.count("*").alias("members")).where("members > 1"), "counts")
+    counts = keyed.groupBy("which", "block").agg(F.count("*").alias("members")).where("members > 1")
     shared = saved(keyed.join(counts, ["which", "block"]), "blocks")
     few = shared.where(F.col("members") <= PAIRWISE).groupBy("which", "block").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("all"))
     # at most PAIRWISE members in each group; every pair is verified here
