@@ -157,8 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def contested(keyed: DataFrame) -> DataFrame:
     """Rows of keyed(band, t, c) whose band value several components share, with the number `members` of its texts."""
     values = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    # a written table, so that Spark can split what many texts share when it meets it
-    return keyed.join(saved(values.select("band", F.col("n").alias("members")), "values"), "band")
+    return keyed.join(values.select("band", F.col("n").alias("members")), "band")
 
 
 def relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
@@ -179,7 +178,7 @@ def apart(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     one = rest.where(few).where(out).select("band", F.col("t").alias("x"), F.col("c").alias("cx"))
     other = again(rest).where(few).where("t <> head").select("band", F.col("t").alias("y"), F.col("c").alias("cy"), out.alias("also"))
     pairs = one.join(other, "band").where("cx <> cy and (not also or x < y)").select("x", "cx", "y", "cy").distinct()
-    found = verified(saved(pairs, "pairs"), sets, similarity)
+    found = verified(pairs, sets, similarity)
     if rest.where(many).isEmpty():
         return found
     spread = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
@@ -197,15 +196,14 @@ def alike(rows: DataFrame, texts: DataFrame, similarity: float, words_per_shingl
     wanted = shared.select("t").distinct().join(texts.select("t", F.col("best.file").alias("file"), F.col("best.at").alias("at")), "t")
     sets = saved(map_rows(at_places(rows, saved(wanted, "wanted"), "inner").select("t", text.alias("text")), "t long, shingles array<long>", set_rows(words_per_shingle)), "sets")
     central = shared.groupBy("t").agg(F.sum("members").alias("score"))
-    heads = shared.join(central, "t").groupBy("band").agg(F.max_by(F.struct("t", "c"), F.struct("score", -F.col("t"))).alias("h"), F.count("*").alias("n"))
-    heads = saved(heads.select("band", "n", F.col("h.t").alias("head"), F.col("h.c").alias("ch")), "heads")
-    led = saved(join_hot(shared, heads, ["band"], shared.count()), "led")
+    heads = shared.join(central, "t").groupBy("band").agg(F.max_by(F.struct("t", "c"), F.struct("score", -F.col("t"))).alias("h"))
+    led = saved(shared.join(heads.select("band", F.col("h.t").alias("head"), F.col("h.c").alias("ch")), "band"), "led")
     star = led.where("c <> ch").select(F.col("head").alias("x"), F.col("ch").alias("cx"), F.col("t").alias("y"), F.col("c").alias("cy")).distinct()
     first = saved(verified(star, sets, similarity), "links")
-    merged = saved(components(first), "merged")
+    merged = components(first)
     now = merged.select(F.col("node").alias("n2"), F.col("component").alias("m2"))
     rest = relabelled(led, merged).join(now, F.col("ch") == now.n2, "left").withColumn("ch", F.coalesce("m2", "ch")).select("band", "t", "c", "head", "ch")
-    second = saved(apart(saved(rest, "rest"), sets, similarity), "links")
+    second = saved(apart(rest, sets, similarity), "links")
     if second.isEmpty():
         return merged
     # the second round links components of the first
