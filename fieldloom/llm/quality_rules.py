@@ -21,6 +21,8 @@ from .common import map_rows, saved, text_of
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 #: Lower ends of the strata, in words.
 STRATA = (0, 50, 200, 800)
+#: The share of good documents that all rules together may reject in a stratum, and the chance that a bound is wrong.
+RISK, LEVEL = 0.02, 0.05
 #: A candidate cutoff is a multiple of 1 / GRID; ratios are at most 1.
 GRID = 64
 
@@ -150,7 +152,7 @@ def choose_cutoffs(histogram: dict[tuple[int, str], dict[int, int]], risk: float
     return out
 
 
-def fit_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05) -> dict[tuple[int, str], float]:
+def fit_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[tuple[int, str], float]:
     """Cutoffs from all rows of labels(doc_id, quality) that counts has.
 
     What comes to the driver is a histogram of len(STRATA) x len(RULES) x (GRID + 1) cells, whatever the input.
@@ -170,7 +172,7 @@ def rejected_by_rules(cutoffs: dict[tuple[int, str], float]) -> Column:
     return out
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = 0.05, level: float = 0.05) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """(doc_id, COUNTS..., base_failed, kept) for every row of docs.
 
     risk bounds the chance of rejecting a good document that passes the base, in each stratum, with confidence
@@ -183,7 +185,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected_by_rules(cutoffs))
 
 
-def keep_by_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = 0.05, level: float = 0.05) -> DataFrame:
+def keep_by_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The rows of docs that apply_rules() keeps, with all their columns.
 
     The verdict needs the text and the cutoffs alone, so texts are counted again where they are read: twice the

@@ -141,9 +141,9 @@ WITH parsed AS (
 ), cuts AS (
   SELECT s, rule, cut, count(*) AS n, count(*) FILTER (ceil(ratio * 64) > cut) AS k FROM good CROSS JOIN (SELECT unnest(range(64)) AS cut) GROUP BY ALL
 ), bounds AS (
-  -- the chance of k or fewer rejections if one in a hundred were rejected, at most the level over strata and rules
+  -- the chance of k or fewer rejections if four in a thousand were rejected, at most the level over strata and rules
   SELECT s, rule, min(cut) AS cut FROM cuts
-  WHERE k < n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE)))) <= 0.05::DOUBLE / 20 GROUP BY s, rule
+  WHERE k < n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.004::DOUBLE) + (n - i) * ln(0.996::DOUBLE)))) <= 0.05::DOUBLE / 20 GROUP BY s, rule
 ), rejected AS (
   SELECT DISTINCT r FROM ratios JOIN bounds ON bounds.s = ratios.s AND bounds.rule = ratios.rule WHERE ratio > cut / 64.0::DOUBLE
 )

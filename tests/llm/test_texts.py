@@ -134,7 +134,7 @@ def test_quality_risk_on_labels_not_learned_from(spark):
     big = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{big}/labels.parquet")
     half = lambda k: labels.where(f"crc32(cast(doc_id as string)) % 2 = {k}")
-    out = quality_rules.apply_rules(spark.read.parquet(f"{big}/documents.parquet"), half(0)).where("not base_failed").join(half(1), "doc_id")
+    out = quality_rules.apply_rules(spark.read.parquet(f"{big}/documents.parquet"), half(0), risk=0.05).where("not base_failed").join(half(1), "doc_id")
     cells = Counter((sum(r.n_words >= low for low in (50, 200, 800)), r.quality, r.kept) for r in out.select("n_words", "quality", "kept").collect())
     print("op5 other half:", sorted(cells.items()))
     for s in range(4):
