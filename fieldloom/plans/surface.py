@@ -5,8 +5,8 @@ The catalog takes one field of each side from every row of nation; names, types
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,15 +69,12 @@ def lines_of(df: DataFrame, value: Column, key: str = "p_partkey") -> DataFrame:
 def training_header(spark, sf_dir):
     """CSV lines under a header with another order, a byte order mark and a quoted name; every row twice."""
     part = table(spark, sf_dir, "part").where("p_name <> ''")
-    header = "﻿Path,\"Name\",EX,type"
+    header = "\ufeffPath,\"Name\",EX,type"
     value = F.concat(F.replace("p_brand", F.lit("#"), F.lit(".")), F.lit(',"'), F.col("p_name"), F.lit('","a, b",'), F.lower("p_type"))
     lines = spark.createDataFrame([(-1, header)], "line_no long, value string").union(lines_of(part, value))
     return catalog.parse_training(lines, header, -1, multiplier=2)
 
 
-CELLS = ["p_name", "lower(p_type)", "p_brand"]
-
-
 @query(
     """SELECT p_partkey AS line_no, CASE p_size % 4 WHEN 0 THEN p_name || ' ' || lower(p_type) || ' p . q . ' || p_brand || ' some text an example' WHEN 1 THEN p_name || ' ' || lower(p_type) || ' p . q . ' || p_brand || ' some text'
 WHEN 2 THEN p_name || ' ' || lower(p_type) || ' p . q . ' || p_brand ELSE p_name || ',' || p_brand END AS text FROM part"""
@@ -467,3 +464,26 @@ def json_results(spark, sf_dir):
     path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
     report.write_json(n, path)
     return spark.read.schema("region long, n long, last string").json(path)
+
+
+@query("SELECT 'context' AS mode, 0.3::DOUBLE AS calib_ratio, 15::BIGINT AS ece_bins, TRUE AS default_without_file")
+def run_config(spark, sf_dir):
+    """Options written beside results and read again; without a file they are the defaults."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own files, as a run's folder of results is
+        catalog.RunConfig(mode="context", calib_ratio=0.3).write(folder)
+        read, other = catalog.RunConfig.read(folder), catalog.RunConfig.read(f"{folder}/none")
+    return spark.createDataFrame([(read.mode, read.calib_ratio, read.ece_bins, other == catalog.RunConfig())], "mode string, calib_ratio double, ece_bins long, default_without_file boolean")
+
+
+@query(
+    """WITH r AS (SELECT r_regionkey AS i, r_regionkey::VARCHAR AS k, r_name AS n, printf('%.4f', r_regionkey / 3.0::DOUBLE) AS s, printf('%.1f', 100 * (r_regionkey / 7.0::DOUBLE)) || '%' AS h, CASE WHEN r_regionkey = 1 THEN 'N/A' ELSE 'x' END AS m FROM region),
+w AS (SELECT greatest(3, max(length(k))) AS k, greatest(4, max(length(n))) AS n, greatest(5, max(length(s))) AS s, greatest(8, max(length(h))) AS h, greatest(4, max(length(m))) AS m FROM r),
+cells AS (SELECT i + 3 AS line_no, k, n, s, h, m FROM r UNION ALL SELECT 1, 'key', 'name', 'share', 'hit_at_1', 'note')
+SELECT 0::BIGINT AS line_no, 'regions' AS line UNION ALL SELECT 2, repeat('-', w.k::INT) || '-+-' || repeat('-', w.n::INT) || '-+-' || repeat('-', w.s::INT) || '-+-' || repeat('-', w.h::INT) || '-+-' || repeat('-', w.m::INT) FROM w
+UNION ALL SELECT line_no, rtrim(rpad(c.k, w.k::INT, ' ') || ' | ' || rpad(c.n, w.n::INT, ' ') || ' | ' || rpad(c.s, w.s::INT, ' ') || ' | ' || rpad(c.h, w.h::INT, ' ') || ' | ' || rpad(c.m, w.m::INT, ' ')) FROM cells c CROSS JOIN w"""
+)
+def text_tables(spark, sf_dir):
+    """Results as a text table: four decimals, rates as percentages, N/A where there is nothing."""
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # five rows
+    rows = [{"key": r.r_regionkey, "name": r.r_name, "share": r.r_regionkey / 3, "hit_at_1": r.r_regionkey / 7, "note": None if r.r_regionkey == 1 else "x"} for r in regions]
+    return spark.createDataFrame(list(enumerate(report.text_table("regions", rows).split("\n"))), "line_no long, line string")

@@ -137,7 +137,7 @@ def paired_texts(pairs: DataFrame, source: DataFrame, target: DataFrame, max_pai
 # --- training lines -------------------------------------------------------------------------------------------------
 def looks_like_header(line: str, strict: bool = True) -> bool:
     """strict: one of the cells is a known column name. Otherwise any known name within the line counts, even in data."""
-    low = line.replace("﻿", "").lower()
+    low = line.replace("\ufeff", "").lower()
     if strict:
         return bool({c.strip().strip('"') for c in low.split(",")} & set(HEADER_WORDS))
     return any(w in low for w in HEADER_WORDS)
