@@ -126,3 +126,22 @@ def test_run_is_registered(spark):
     assert "pipeline" in __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in __spark_entry__.queries()}
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+def test_rows_are_told_by_place(spark, tmp_path):
+    """Stored and made rows, clashing names and plans that repeat a place give the same rows."""
+    names = ["_metadata", "file", "at", "row", "t", "c", "band"]
+    made = odd(spark, names)
+    made.write.parquet(str(tmp_path / "docs"))
+    odd(spark).write.parquet(str(tmp_path / "plain"))
+    stored, plain = spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(str(tmp_path / "plain"))
+    assert near_text.plain_scan(plain) and near_text.plain_scan(plain.where("lang is not null").select("text", "doc_id"))
+    twice = plain.selectExpr("*", "explode(array(1, 2)) as copy").drop("copy")
+    assert not near_text.plain_scan(twice) and not near_text.plain_scan(plain.union(plain)) and not near_text.plain_scan(made)
+    want = sorted((r.doc_id or 0, r.text or "") for r in near_text.one_of_each(plain).collect())
+    assert len(want) == len({t for _, t in want})
+    for docs in (made, stored, twice, plain.union(plain), odd(spark)):
+        out = near_text.one_of_each(docs)
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == want
+    assert near_text.one_of_each(plain.limit(0)).count() == 0
