@@ -14,7 +14,7 @@ from .ranking import top_k
 
 
 #: Postings of a term that one task takes of either side, about.
-POSTINGS = 4000
+POSTINGS = 16_000
 
 
 def join_terms(a: DataFrame, b: DataFrame, term: list[str], a_id: str, b_id: str, rows: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -59,7 +61,9 @@ def per_source_of(scores: DataFrame, truth: DataFrame, columns: list[str], ks: t
     most = max((1, *ks))
     relevant = with_truth(scores, truth).where("relevant")
     gathered = relevant.groupBy("src_pos").agg(F.count("*").alias("n"), *[F.slice(F.sort_array(F.collect_list(F.struct(F.col(c).alias("s"), (-F.col("tgt_pos")).alias("t"))), False), 1, most).alias(f"_best{i}") for i, c in enumerate(columns)])
-    best = gathered.select("src_pos", "n", *[F.get(f"_best{i}", F.lit(k))[part].alias(f"_{part}{i}_{k}") for i in range(len(columns)) for k in range(most) for part in ("s", "t")])
+    best = gathered.select("src_pos", "n", *[F.get(f"_best{i}", F.lit(k))[part].alias(f"_{part}{i}_{k}") for i in range(len(columns)) for k in range(most) for part in ("s", "t")], *[F.array_min(f"_best{i}.s").alias(f"_floor{i}") for i in range(len(columns))])
+    # few targets reach the least of a source's best true ones, which they must to beat any
+    reach = reduce(lambda a, b: a | b, [F.col(c) >= F.col(f"_floor{i}") for i, c in enumerate(columns)])
 
     def beats(i: int, k: int) -> Column:
         s, t = F.col(f"_s{i}_{k}"), F.col(f"_t{i}_{k}")
@@ -67,7 +71,7 @@ def per_source_of(scores: DataFrame, truth: DataFrame, columns: list[str], ks: t
 
     # a rank is null where there are fewer true targets
     counts = [F.sum(F.when(beats(i, k), 1).when(F.col(f"_t{i}_{k}").isNotNull(), 0)).alias(f"_r{i}_{k}") for i in range(len(columns)) for k in range(most)]
-    ranks = scores.join(best.hint("shuffle_hash"), "src_pos").groupBy("src_pos").agg(F.first("n").alias("n"), *counts)
+    ranks = scores.join(best.hint("shuffle_hash"), "src_pos").where(reach).groupBy("src_pos").agg(F.first("n").alias("n"), *counts)
 
     def row_of(i: int) -> Column:
         gains = [sum((F.when(F.col(f"_r{i}_{j}") < k, 1 / F.log2(F.col(f"_r{i}_{j}") + 2.0)).otherwise(0.0) for j in range(k)), F.lit(0.0)) / gain_at(k, F.col("n")) for k in ks]
