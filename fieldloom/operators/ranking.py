@@ -62,8 +62,9 @@ def per_source_of(scores: DataFrame, truth: DataFrame, columns: list[str], ks: t
     relevant = with_truth(scores, truth).where("relevant")
     gathered = relevant.groupBy("src_pos").agg(F.count("*").alias("n"), *[F.slice(F.sort_array(F.collect_list(F.struct(F.col(c).alias("s"), (-F.col("tgt_pos")).alias("t"))), False), 1, most).alias(f"_best{i}") for i, c in enumerate(columns)])
     best = gathered.select("src_pos", "n", *[F.get(f"_best{i}", F.lit(k))[part].alias(f"_{part}{i}_{k}") for i in range(len(columns)) for k in range(most) for part in ("s", "t")], *[F.array_min(f"_best{i}.s").alias(f"_floor{i}") for i in range(len(columns))])
-    # few targets reach the least of a source's best true ones, which they must to beat any
-    reach = reduce(lambda a, b: a | b, [F.col(c) >= F.col(f"_floor{i}") for i, c in enumerate(columns)])
+    # few targets reach the least of a source's best true ones, which they must to beat any; a plain comparison would also
+    # become a test for null, for which the product would work scores out once more
+    reach = F.coalesce(reduce(lambda a, b: a | b, [F.col(c) >= F.col(f"_floor{i}") for i, c in enumerate(columns)]), F.lit(False))
 
     def beats(i: int, k: int) -> Column:
         s, t = F.col(f"_s{i}_{k}"), F.col(f"_t{i}_{k}")
