@@ -440,7 +440,8 @@ def bm25_ensemble(spark, sf_dir):
 @query()
 def tfidf_ensemble(spark, sf_dir):
     """Rich tokens; tests hold it against a plain-Python version."""
-    return top3(matchers.tfidf_ensemble(catalog.part_sources(spark, sf_dir), catalog.part_targets(spark, sf_dir)))
+    best = matchers.tfidf_ensemble(catalog.part_sources(spark, sf_dir), catalog.part_targets(spark, sf_dir), k=3)
+    return best.select("src_pos", "tgt_pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(

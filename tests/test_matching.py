@@ -273,6 +273,62 @@ def test_tfidf_over_rich_tokens(spark, fields):
         assert got.get((f"s{i}", f"t{j}"), 0.0) == pytest.approx(cosine(i, 3 + j))
 
 
+def test_half_up_rounds_as_spark_does(spark):
+    x = [0.0046875, 0.0000005, 0.1234565, 0.7234565, 2.5e-7, 0.30000049999999996, 1.0, 0.0, -0.0000015, *np.random.default_rng(2).random(500), *(np.arange(1, 400) / 1280 * 0.3)]
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert lexical.half_up(np.array(x)).tolist() == want
+
+
+def copied(src, times):
+    """A catalog with every record several times, at other positions."""
+    n = src.count()
+    return src.crossJoin(src.sparkSession.range(times)).withColumn("pos", F.col("pos") + n * F.col("id")).drop("id")
+
+
+@pytest.mark.parametrize("name", ["tfidf"])
+def test_ensembles_score_a_record_once(spark, fields, name):
+    """Copies of a source have its scores, statistics count them, and the best targets are those of all scores."""
+    src, tgt, _ = fields
+    some = copied(src, 3)
+    match = {"tfidf": matchers.tfidf_ensemble, "bm25": matchers.bm25_ensemble}[name]
+    got = {(r.src_pos, r.tgt_pos): r.score for r in match(some, tgt).collect()}
+    assert len(got) == 27
+    s, t = matchers.sparse_catalog(some), matchers.sparse_catalog(tgt)
+    parts = {"overlap": (matchers.token_overlap(s, t, "full", True), "full"), "path_overlap": (matchers.token_overlap(s, t, "path", True), "path"), "type_score": (matchers.same_types(s, t), "tbase")}
+    if name == "tfidf":
+        named = lambda df, tag: df.withColumn("doc", F.concat(F.lit(tag), F.col("pos").cast("string")))
+        parts["sparse"], s, t = (matchers.tfidf_part(s, t, True), "doc"), named(s, "s"), named(t, "t")
+        weights = {"sparse": 0.55, "overlap": 0.15, "path_overlap": 0.15, "type_score": 0.15}
+    else:
+        for part, key in (("full_bm", "full"), ("name_bm", "name"), ("path_bm", "raw_path")):
+            raw = lexical.bm25(s.select(F.col("pos").alias("src_pos"), X.bm25_tokens(key).alias("tokens")), t.select(F.col("pos").alias("tgt_pos"), X.bm25_tokens(key).alias("tokens")))
+            parts[part] = ranking.row_max_normalized(raw).select(F.col("src_pos").alias("a"), F.col("tgt_pos").alias("b"), "score"), "pos"
+        weights = {"full_bm": 0.40, "name_bm": 0.20, "path_bm": 0.10, "overlap": 0.15, "path_overlap": 0.05, "type_score": 0.10}
+    rows = matchers.filled(s, t, {n: p for n, (p, _) in parts.items()}, {n: key for n, (_, key) in parts.items()}).collect()
+    for r in rows:
+        assert got[r.src_pos, r.tgt_pos] == pytest.approx(sum(w * r[part] for part, w in weights.items()))
+    best = {(r.src_pos, r["rank"]): (r.tgt_pos, r.score) for r in match(some, tgt, k=2).collect()}
+    assert len(best) == 18
+    for i in range(9):
+        order = sorted((-round(got[i, j], 6), j) for j in range(3))[:2]
+        assert [best[i, 1], best[i, 2]] == [(j, -v) for v, j in order]
+
+
+def test_tiles_of_records(spark):
+    """Several tiles give what one gives, the largest of a row among all of them; a record without terms has 0."""
+    rng = np.random.default_rng(5)
+    side = lambda n: spark.createDataFrame([(i, part, rng.integers(0, 12, i % 5).tolist(), None if part != "m" else rng.random(i % 5).tolist()) for i in range(n) for part in "smj"], "pos long, part string, t array<long>, w array<double>")
+    parts = {"s": (0.5, "sum"), "m": (0.3, "row_max"), "j": (0.2, "jaccard")}
+    from fieldloom.shared import saved
+
+    a, b = (saved(side(n).withColumn("t", F.when(F.col("part") == "j", F.array_distinct("t")).otherwise(F.col("t"))), "side") for n in (20, 17))
+    table = lambda df: {(r.src_pos, r.tgt_pos): r.score for r in df.collect()}
+    one, many = table(lexical.tile_scores(a, b, parts)), table(lexical.tile_scores(a, b, parts, tile=4))
+    assert len(one) == 340 and one.keys() == many.keys() and all(many[x] == pytest.approx(v) for x, v in one.items())
+    best = lexical.tile_scores(a, b, parts, k=3, tile=4).collect()
+    assert {(r.src_pos, r["rank"]): r.tgt_pos for r in best} == {(i, k + 1): j for i in range(20) for k, (_, j) in enumerate(sorted((-round(one[i, j], 6), j) for j in range(17))[:3])}
+
+
 @pytest.mark.parametrize("name", sorted(matchers.MATCHERS.keys() - matchers.ENCODERS.keys()))
 def test_every_matcher_finds_the_pairs(spark, fields, name):
     src, tgt, table = fields
