@@ -434,7 +434,8 @@ def tfidf(spark, sf_dir):
 @query()
 def bm25_ensemble(spark, sf_dir):
     """Rich tokens; tests hold it against a plain-Python version."""
-    return top3(matchers.bm25_ensemble(catalog.part_sources(spark, sf_dir), catalog.part_targets(spark, sf_dir)))
+    best = matchers.bm25_ensemble(catalog.part_sources(spark, sf_dir), catalog.part_targets(spark, sf_dir), k=3)
+    return best.select("src_pos", "tgt_pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()

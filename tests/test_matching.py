@@ -285,7 +285,7 @@ def copied(src, times):
     return src.crossJoin(src.sparkSession.range(times)).withColumn("pos", F.col("pos") + n * F.col("id")).drop("id")
 
 
-@pytest.mark.parametrize("name", ["tfidf"])
+@pytest.mark.parametrize("name", ["tfidf", "bm25"])
 def test_ensembles_score_a_record_once(spark, fields, name):
     """Copies of a source have its scores, statistics count them, and the best targets are those of all scores."""
     src, tgt, _ = fields
