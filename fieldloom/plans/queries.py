@@ -686,6 +686,8 @@ def stream_topk(spark, sf_dir):
     schema = table(spark, sf_dir, "part").schema
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/part.parque[t]")
+    # a small file is one split, whose rows one task would score
+    stream = stream.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     fields = stream.select(F.col("p_partkey").cast("string").alias("field_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("type"), F.concat_ws(".", "p_brand", "p_type", "p_name").alias("path"))
     best = stream_top_k(fields, catalog.part_targets(spark, sf_dir), 3).select("field_id", F.array_join(F.transform("best", lambda b: b["field_id"]), "|").alias("best"))
     best.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()

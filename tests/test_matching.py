@@ -500,6 +500,33 @@ def test_streaming(spark, fields, tmp_path):
     assert {r.field_id for r in seen} == {"src_ip", "src_port", "action"}
 
 
+def test_stream_scores_equal_the_columns(spark, monkeypatch):
+    """Best targets as Spark's own expressions rank them, with null and empty values, ties and records that come again;
+    the catalog does not stand beside each row."""
+    from fieldloom.functions import similarity as S
+    from fieldloom.streaming import scoring
+
+    monkeypatch.setattr(scoring, "KEPT", 5)
+    words = ["red", "cold", "Ring", "bolt x", "", None, "a.b c"]
+    kinds = ["ip", "STRING", '{"base": "ip"}', "", None]
+    rows = lambda n, p: [(str(i), words[i * p % 7], kinds[i // 2 % 5], f"x.{words[i % 7]}.{i % 3}" if i % 4 else None) for i in range(n)]
+    schema = "field_id string, name string, type string, path string"
+    fields = spark.createDataFrame(rows(40, 1) + rows(40, 1), schema).withColumn("note", F.lit("kept"))
+    targets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows(23, 3))], "pos long, " + schema)
+    got = scoring.stream_top_k(fields, targets, 4)
+    assert got.columns == [*fields.columns, "best"] and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    both = lambda df, p: df.select(F.col("field_id").alias(f"{p}_id"), *([F.col("pos")] if p == "t" else []), X.plain_tokens("name").alias(f"{p}n"), X.type_base("type").alias(f"{p}t"), X.path_tokens("path").alias(f"{p}p"))
+    score = F.round(matchers.weighted(S.jaccard(F.col("sn"), F.col("tn")), ((F.col("st") == F.col("tt")) & (F.col("st") != "")).cast("double"), S.jaccard(F.col("sp"), F.col("tp")), 0.3, 0.5, 0.2), 6)
+    want = {}
+    for r in both(fields.limit(40), "s").crossJoin(both(targets, "t")).select("s_id", "t_id", "pos", score.alias("score")).collect():
+        want.setdefault(r.s_id, []).append((-r.score, r.pos, r.t_id))
+    found = got.collect()
+    assert len(found) == 80
+    for r in found:
+        assert [(b.score, b.field_id) for b in r.best] == [(-s, i) for s, _, i in sorted(want[r.field_id])[:4]]
+    assert [len(r.best) for r in scoring.stream_top_k(fields.limit(2), targets.limit(0), 4).collect()] == [0, 0]
+
+
 def brute_ranks(rows, sets, ks=(3, 5)):
     """{source: (best rank, ndcg...)} by sorting, ties to the smaller position."""
     out = {}
